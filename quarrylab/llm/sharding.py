@@ -13,13 +13,13 @@ from .common import gapless, read
 SLOT_ROWS = 20_000
 
 
-def cost(key: Column, shard: int, weight: float) -> Column:
+def cost(key: Column, shard: Column, weight: Column) -> Column:
     """-ln(u) / weight for a u in (0, 1) drawn by the hash of key and shard; the least cost over shards wins.
 
     A shard wins with a probability in proportion to its weight, whatever other shards there are.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(float(weight))
+    u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return -F.log(u) / weight
 
 
 def winner(key: Column, weights: dict[int, float]) -> Column:
@@ -27,8 +27,8 @@ def winner(key: Column, weights: dict[int, float]) -> Column:
     usable = {s: w for s, w in sorted(weights.items()) if w > 0}
     if not usable or any(w < 0 or not math.isfinite(w) for w in weights.values()):
         raise ValueError("weights must be finite, none negative, one positive at least")
-    entries = [F.struct(cost(key, s, w).alias("cost"), F.lit(s).alias("shard")) for s, w in usable.items()]
-    return F.array_min(F.array(*entries)) if len(entries) > 1 else entries[0]
+    shards = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in usable.items()])
+    return F.array_min(F.transform(shards, lambda x: F.struct(cost(key, x.shard, x.weight).alias("cost"), x.shard.alias("shard"))))
 
 
 def rendezvous(df: DataFrame, key: Column, weights: list[float], grown_weight: float | None = None, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
@@ -41,7 +41,7 @@ def rendezvous(df: DataFrame, key: Column, weights: list[float], grown_weight: f
     df = df.withColumn("_won", winner(key, dict(enumerate(weights))))
     n = len(weights)
     if grown_weight:
-        df = df.withColumn(grown, F.when(cost(key, n, grown_weight) < F.col("_won.cost"), F.lit(n)).otherwise(F.col("_won.shard")))
+        df = df.withColumn(grown, F.when(cost(key, F.lit(n), F.lit(float(grown_weight))) < F.col("_won.cost"), F.lit(n)).otherwise(F.col("_won.shard")))
     return df.withColumn(shard, F.col("_won.shard")).drop("_won")
 
 
