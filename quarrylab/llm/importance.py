@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,17 +19,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stage
-from .shingles import GOLDEN, mix
+from .components import UnionFind
+from .shingles import GOLDEN, band_hashes, mix, shingle_set, superminhash
 
-#: Hash buckets of the models.
-BUCKETS = 1 << 20
+#: Hash buckets of the models: so many that a text rarely meets a bucket of weight by chance.
+BUCKETS = 1 << 40
 #: At most so many labelled documents are learned from: those of the smallest hash of doc_id.
-FIT_ROWS = 50_000
-#: Buckets whose document counts don't differ by this G statistic carry no weight (p about 4e-8).
+FIT_ROWS = 20_000
+#: Buckets whose document counts don't differ by this G statistic carry no weight (p about 4e-8), ...
 SIGNIFICANT = 30.0
+#: ... nor those whose log ratio is less, ...
+EFFECT = 1.0
+#: ... and no more than those of the largest G carry one, in each pool.
+WEIGHTS = 200_000
+#: n-grams that a fitting task holds before it hands on their counts.
+_HELD = 4_000_000
 #: Scale of the Gumbel noise; 1 samples in proportion to w, 0 takes the k best.
 TEMPERATURE = 0.25
-POOLS = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+POOLS = {"low_quality": "quality = 0", "toxic": "toxic = 1 and quality <> 0"}
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMORY = 1_000_000
@@ -66,60 +74,109 @@ def buckets_of(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.unique(np.concatenate(found) % np.uint64(buckets)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, pools: dict[str, str] = POOLS, rows: int = FIT_ROWS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(prior, weights): log odds of target against each pool, and the log ratio of each bucket, pool by pool.
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Twelve band hashes of each text's word shingles."""
+    for batch in batches:
+        sets = [shingle_set(text) for text in batch.text]
+        sets = [s if len(s) else np.array([hash_of], np.uint64) for s, hash_of in zip(sets, batch.doc_id.to_numpy().astype(np.uint64))]
+        yield batch[["doc_id", "classes"]].assign(bands=list(band_hashes(superminhash(sets, 24), 12, 2)))
+
+
+def _one_each(found: pa.Table) -> list[tuple[int, int]]:
+    """(doc_id, classes) of one document of each group that shares bands; of as many rows as the sample has."""
+    groups, first = UnionFind(), {}
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "classes", "bands"))))
+    for i, (_, _, bands) in enumerate(rows):
+        for band in bands:
+            groups.union(i, first.setdefault(band, i))
+    return [rows[i][:2] for i in range(len(rows)) if groups.find(i) == i]
+
+
+class Model(NamedTuple):
+    """Per pool: the log odds of target before any n-gram, the buckets of weight in order, and their log ratios."""
+
+    prior: list[float]
+    buckets: list[np.ndarray]
+    ratios: list[np.ndarray]
+    space: int
+
+    def log_weight(self, seen: np.ndarray) -> float:
+        least = math.inf
+        for prior, known, ratios in zip(self.prior, self.buckets, self.ratios):
+            if len(known) and len(seen):
+                at = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+                prior += float(ratios[at][known[at] == seen].sum())
+            least = min(least, prior)
+        return least
+
+
+def fit(docs: DataFrame, labels: DataFrame, pools: dict[str, str] = POOLS, rows: int = FIT_ROWS, space: int = BUCKETS) -> Model:
+    """Learn the models from a bounded sample of the labelled documents.
 
     Target is what no pool's condition on the labels holds for. A document counts once for each of its buckets,
-    so that one repetitive text doesn't make a bucket count. Several labels of one doc_id count as the worst.
+    so that one repetitive text doesn't make a bucket count, and of near copies in the sample one counts, so
+    that the words of a copied text don't. Several labels of one doc_id count as the worst.
     """
     worst = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("doc_id is not null")
     picked = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     flags = [F.coalesce(F.expr(c), F.lit(False)).cast("int") for c in pools.values()]
     classes = F.when(sum(flags) == 0, 1).otherwise(0) + sum(f * (2 << k) for k, f in enumerate(flags))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", classes.alias("classes"))), "doc_id")
-    names = ["target", *pools]
+    spark = docs.sparkSession
+    rows_of = lambda picked: docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
+    bands = rows_of(picked.select(F.col("doc_id").cast("long"), classes.alias("classes"))).mapInPandas(_bands, "doc_id long, classes int, bands array<long>")
+    sample = rows_of(spark.createDataFrame(_one_each(bands.toArrow()), "doc_id long, classes int"))
+    kinds = 2 << len(pools)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((len(names), buckets + 1), np.int64)  # the last column counts documents
+        held, size = [], 0
         for batch in batches:
             for text, bits in zip(batch.text, batch.classes):
-                seen = np.append(buckets_of(text, buckets), buckets)
-                for k in range(len(names)):
-                    if bits >> k & 1:
-                        totals[k, seen] += 1
-        used = np.flatnonzero(totals.any(axis=0))
-        yield pd.DataFrame({"bucket": used} | {n: totals[k, used] for k, n in enumerate(names)})
-
-    counts = stage(sample.select("text", "classes").mapInPandas(count, "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]), "ngrams")
-    sizes = counts.where(F.col("bucket") == buckets).first()
-    prior, weights = np.zeros(len(pools)), np.zeros((len(pools), buckets))
-    for k, pool in enumerate(pools):
-        if not sizes or not sizes["target"] or not sizes[pool]:
-            continue  # nothing to tell apart: all weights stay 0
-        n, m = float(sizes["target"]), float(sizes[pool])
+                # Bucket -1 counts documents.
+                held.append(np.append(buckets_of(text, space), -1) * kinds + int(bits))
+                size += len(held[-1])
+                if size >= _HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"bucket": codes // kinds, "classes": codes % kinds, "n": n})
+
+    names = ["target", *pools]
+    sums = [F.sum(F.when(F.col("classes").bitwiseAND(1 << k) != 0, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(names)]
+    found = sample.select("text", "classes").mapInPandas(count, "bucket long, classes long, n long").groupBy("bucket").agg(*sums)
+    counts = stage(found.where(" or ".join(f"{name} > 1" for name in names) + " or bucket = -1"), "ngrams")
+    sizes = counts.where("bucket = -1").first()
+    model = Model([], [], [], space)
+    for pool in pools:
+        n, m = (float(sizes["target"]), float(sizes[pool])) if sizes else (0.0, 0.0)
+        if not n or not m:  # nothing to tell apart
+            model.prior.append(0.0), model.buckets.append(np.zeros(0, np.int64)), model.ratios.append(np.zeros(0))
+            continue
         a, b = F.col("target").cast("double"), F.col(pool).cast("double")
         part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
         gap = 2 * (part(a, (a + b) * n / (n + m)) + part(b, (a + b) * m / (n + m)))
         ratio = F.log((a + 0.5) / (n + 1) / ((b + 0.5) / (m + 1)))
-        kept = counts.where((F.col("bucket") < buckets) & (gap >= SIGNIFICANT)).select("bucket", ratio.alias("ratio")).toArrow()
-        weights[k, kept["bucket"].to_numpy()] = kept["ratio"].to_numpy()
-        prior[k] = math.log(n / m)
-    return prior, weights
+        ranked = counts.where((F.col("bucket") >= 0) & (gap >= SIGNIFICANT) & (F.abs(ratio) >= EFFECT)).select("bucket", ratio.alias("ratio"), gap.alias("gap"))
+        kept = ranked.orderBy(F.desc("gap"), "bucket").limit(WEIGHTS).toArrow().sort_by("bucket")
+        model.prior.append(math.log(n / m)), model.buckets.append(kept["bucket"].to_numpy()), model.ratios.append(kept["ratio"].to_numpy())
+    return model
 
 
-def score(docs: DataFrame, prior: np.ndarray, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text_hash, n_grams and log_weight of each row of docs; 0 and more is likelier target than raw."""
-    shared = docs.sparkSession.sparkContext.broadcast((prior, weights.astype(np.float32)))  # bounded by the bucket count
-    buckets = weights.shape[1]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WEIGHTS
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, weights = shared.value
+        model = shared.value
         for batch in batches:
             sizes, values = [], []
             for text in batch["text"].to_pylist():
-                seen = buckets_of(text, buckets)
+                seen = buckets_of(text, model.space)
                 sizes.append(len(seen))
-                values.append(float((prior + weights[:, seen].sum(axis=1, dtype=np.float64)).min()))
+                values.append(model.log_weight(seen))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(values, pa.float64())], ["doc_id", "text_hash", "n_grams", "log_weight"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -172,8 +229,7 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, k: int | None = No
     Null and empty texts hold no n-gram and are weighed by the prior odds alone. Without labels, or without target
     or raw rows among them, all weights are 0 and all rows stay. Rows may repeat; other columns are ignored.
     """
-    prior, weights = fit(docs, labels)
-    return resample(stage(score(docs, prior, weights), "weights"), k)
+    return resample(stage(score(docs, fit(docs, labels)), "weights"), k)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
