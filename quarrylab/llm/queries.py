@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .importance import op1_importance_resampling
 from .near_duplicates import op9_near_duplicates
+from .packing import op7_packing
 from .personal_data import op10_personal_data
 from .sharding import op4_sharding
 from .token_files import op8_token_files
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
