@@ -39,19 +39,23 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GAPS = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+#: What stands between two words of the kind [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, once the text is in lower case.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-#: What stands between two words of the kind [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all other characters as they are; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    # lower() is many times faster, and the same where all characters are ASCII.
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def plain_words(text: Column) -> Column:
-    """Words of digits, a-z and non-ASCII characters of the lower-cased text, in order; an array without nulls."""
-    trimmed = F.regexp_replace(lower_ascii(text), f"^{SEPARATORS}", "")
-    return F.filter(F.split(trimmed, SEPARATORS), lambda w: w != "")
+    """Words of digits, a-z and non-ASCII characters of the lower-cased text, in order."""
+    inner = F.btrim(lower_ascii(text), F.lit(_GAPS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATORS))
 
 
 def gapless(df: DataFrame, group: str, order: list[str], spread: Column, buckets: int, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ from .importance import op1_importance_resampling
 from .near_duplicates import op9_near_duplicates
 from .packing import op7_packing
 from .personal_data import op10_personal_data
+from .positional_index import OP5_SQL, op5_decontamination
 from .sharding import op4_sharding
 from .token_files import op8_token_files
 
@@ -14,7 +15,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
