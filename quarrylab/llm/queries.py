@@ -8,10 +8,12 @@ from .packing import op7_packing
 from .personal_data import op10_personal_data
 from .positional_index import OP5_SQL, op5_decontamination
 from .sharding import op4_sharding
+from .suffix_tree import op2_suffix_tree
 from .token_files import op8_token_files
 
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_suffix_tree": op2_suffix_tree,
     "op4_sharding": op4_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
