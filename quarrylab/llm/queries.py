@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .importance import op1_importance_resampling
 from .near_duplicates import op9_near_duplicates
+from .nearest import op3_nearest
 from .packing import op7_packing
 from .personal_data import op10_personal_data
 from .positional_index import OP5_SQL, op5_decontamination
@@ -14,6 +15,7 @@ from .token_files import op8_token_files
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_suffix_tree": op2_suffix_tree,
+    "op3_nearest": op3_nearest,
     "op4_sharding": op4_sharding,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
