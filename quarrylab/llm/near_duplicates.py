@@ -18,7 +18,7 @@ BANDS, ROWS = 45, 5
 #: Shingles that a task of the verification holds for each of its two blocks.
 BLOCK_SHINGLES = 2_000_000
 #: Shingles whose signatures are made at once.
-BATCH_SHINGLES = 500_000
+BATCH_SHINGLES = 300_000
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -97,9 +97,9 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept.
+    """One row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, component.
 
-    Exact copies of a shingle set are one class from the start. Classes that share a band are candidates; the
+    component names the component by its least set; null without words. Exact copies of a shingle set are one class from the start. Classes that share a band are candidates; the
     candidates' connected components are cut into tiles of bounded size, and within a tile every class that
     isn't reached yet is compared on full sets with those reached. So no component is settled by estimates, no group
     sits in one task, and no pairs within a group are emitted but a spanning forest of them.
@@ -129,13 +129,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
 
     grouped = classes.join(linked, classes.lo == linked.node, "left").withColumn("label", F.coalesce("root", "lo"))
     least = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    several = stage(grouped.join(least, "label").select("lo", "hi", "component_id"), "classes")
+    several = stage(grouped.join(least, "label").select("lo", "hi", "component_id", "label"), "classes")
     return (
         made.select("doc_id", "text_hash", "n_shingles", "lo", "hi").join(several, ["lo", "hi"], "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash")
+        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash", F.coalesce("label", "lo").alias("component"))
     )
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash", "component")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
@@ -136,13 +136,18 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
-def personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Spans of each row of docs (doc_id, text); with_text: also the redacted text, as `redacted`.
+def candidate(text: Column) -> Column:
+    """The text if it may hold a span, else null: a span has a digit or an @."""
+    return F.when(text.rlike("[0-9@]"), text)
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, counts by kind, base_sha256, spans, and the spans' scores.
 
     Row-local, without a shuffle: rows may repeat, texts may be null, empty or long (each pattern takes linear
-    time), other columns are ignored. A text without a digit and without an @ can hold no span and isn't sent to Python.
+    time), other columns are ignored. A text that can hold no span isn't sent to Python.
     """
-    fields = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string" + ", redacted string" * with_text
+    names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "scores"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,12 +156,21 @@ def personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 spans = find(text)
                 base = listed([s for s in spans if s.kind in BASE])
                 counts = [sum(s.kind == k for s in spans) for k in KINDS]
-                rows.append([*counts, hashlib.sha256(base.encode()).hexdigest(), listed(spans), ",".join(f"{s.score:g}" for s in spans)] + [redact(text, spans)] * with_text)
-            names = [f.strip().split()[0] for f in fields.split(",")][1:]
+                rows.append([*counts, hashlib.sha256(base.encode()).hexdigest(), listed(spans), ",".join(f"{s.score:g}" for s in spans)])
             yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    candidate = F.col("text") if with_text else F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
-    return docs.select(F.col("doc_id").cast("long"), candidate.alias("candidate")).mapInPandas(scan, fields)
+    fields = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string"
+    return docs.select(F.col("doc_id").cast("long"), candidate(F.col("text")).alias("candidate")).mapInPandas(scan, fields)
+
+
+def redacted(text: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; null stays null."""
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, find(t)) for t in texts], dtype=object)
+
+    return F.coalesce(apply(candidate(text)), text)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

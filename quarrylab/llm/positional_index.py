@@ -20,16 +20,17 @@ DOCUMENT = -1
 
 
 class PositionalIndex(NamedTuple):
-    """terms: (word, term); postings: (row, doc_id, n_words, term, pos), pos counted in words from 0.
+    """terms: (word, term); postings: (row, doc_id, n_words, text_hash, term, pos), pos counted in words from 0.
 
     Each row of the documents has a posting of the term DOCUMENT, and a row number of its own, so that rows may repeat.
+    text_hash is on that posting alone.
     """
 
     terms: DataFrame
     postings: DataFrame
 
     def documents(self) -> DataFrame:
-        return self.postings.where(F.col("term") == DOCUMENT).select("row", "doc_id", "n_words")
+        return self.postings.where(F.col("term") == DOCUMENT).select("row", "doc_id", "n_words", "text_hash")
 
     def frequencies(self) -> DataFrame:
         return self.postings.where(F.col("term") != DOCUMENT).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
@@ -37,14 +38,14 @@ class PositionalIndex(NamedTuple):
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> PositionalIndex:
     """Store the postings of docs (doc_id, text); of the words in vocabulary (word) alone, if that is given."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", plain_words(F.col("text")).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words"))
     if vocabulary is None:
         vocabulary = rows.select(F.explode("words").alias("word"))
     terms = stage(vocabulary.where("word is not null").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     # The empty word, which no text holds, stands for the document.
     known = terms.union(docs.sparkSession.createDataFrame([("", DOCUMENT)], "word string, term long"))
-    at = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "word"))
-    postings = at.join(bounded(known), "word").select("row", "doc_id", "n_words", "term", (F.col("pos").cast("long") - 1).alias("pos"))
+    at = rows.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "word"))
+    postings = at.join(bounded(known), "word").select("row", "doc_id", "n_words", F.when(F.col("pos") == 0, F.col("text_hash")).alias("text_hash"), "term", (F.col("pos").cast("long") - 1).alias("pos"))
     return PositionalIndex(terms, stage(postings, "postings"))
 
 
@@ -101,7 +102,7 @@ def proximity(index: PositionalIndex, items: DataFrame, slop: int) -> DataFrame:
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     A null or wordless text has no words and isn't contaminated; wordless items are ignored, repeated items count
     once, and an item shorter than the window is one window. Extra columns are ignored; empty tables are fine.
@@ -120,13 +121,13 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
             F.coalesce(F.size("ids").cast("long"), F.lit(0)).alias("n_items"),
             F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
+            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "text_hash",
         )
-        .withColumn("contaminated", F.col("n_hit") > 0)
     )
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 OP5_SQL = r"""

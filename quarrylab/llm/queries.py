@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .importance import op1_importance_resampling
+from .licenses import op6_licenses
+from .licenses import oracle as license_oracle
 from .near_duplicates import op9_near_duplicates
 from .nearest import op3_nearest
 from .packing import op7_packing
@@ -20,7 +22,8 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
     "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle()}
