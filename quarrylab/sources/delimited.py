@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Stands for null, so that empty texts stay apart from nulls.
 NULL = "\\N"
-OPTIONS = {"header": True, "nullValue": NULL, "emptyValue": "", "quote": '"', "escape": '"', "multiLine": True}
+OPTIONS = {"header": True, "nullValue": NULL, "quote": '"', "escape": '"', "multiLine": True}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -48,7 +48,8 @@ def parse(declaration: str) -> Declared:
 def spark_type(declaration: str) -> T.DataType:
     name = parse(declaration).type
     found = next((k for k, names in SPARK_TYPES.items() if name in names), "string")
-    return T._parse_datatype_string(found)
+    kinds = (T.LongType(), T.DoubleType(), T.BinaryType(), T.BooleanType(), T.TimestampNTZType(), T.DateType(), T.StringType())
+    return next(k for k in kinds if k.typeName() == found)
 
 
 def declared_type(kind: T.DataType) -> str:
