@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once a session, unless PYTHONPATH brings it there already."""
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quarrylab_shipped", False):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quarrylab-')}/quarrylab", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._quarrylab_shipped = True
