@@ -12,28 +12,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .shingles import GOLDEN, WordHashes, mix
+from .shingles import GOLDEN, mix
 from .tokens import encoder
 
 #: Buckets of the hashed vectors, dimensions they are projected to, bits of each.
-VECTOR, DIMENSIONS, BITS = 1 << 16, 3, 20
-
-_words = WordHashes()
+VECTOR, DIMENSIONS, BITS = 1 << 12, 3, 20
+#: Bytes of a text that are hashed at once.
+_PIECE = 1 << 20
 
 
 def projection(buckets: int = VECTOR, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A fixed random matrix with entries in (-1, 1)."""
+    """A fixed random matrix (dimensions, buckets) with entries in (-1, 1)."""
     cells = np.arange(1, buckets * dimensions + 1, dtype=np.uint64) * GOLDEN
-    return ((mix(cells) >> np.uint64(11)).astype(np.float64) / (1 << 52) - 1).reshape(buckets, dimensions)
+    return ((mix(cells) >> np.uint64(11)).astype(np.float64) / (1 << 52) - 1).reshape(dimensions, buckets).astype(np.float32)
 
 
 def coordinates(text: str | None, matrix: np.ndarray) -> np.ndarray:
-    """The mean of a text's hashed word vectors, projected; the origin without words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(matrix.shape[1])
-    buckets = np.array([_words[w] for w in words], np.uint64) % np.uint64(len(matrix))
-    return matrix[buckets.astype(np.int64)].mean(axis=0)
+    """The mean of the hashed vectors of a text's runs of four bytes (A-Z in lower case), projected.
+
+    Runs that a document has often weigh as often. Shorter texts are filled up with zeros.
+    """
+    spelled = np.frombuffer((text or "").encode().lower().ljust(4, b"\0"), np.uint8).astype(np.uint32)
+    total, shift = np.zeros(len(matrix)), np.uint32(32 - VECTOR.bit_length() + 1)
+    for at in range(0, len(spelled) - 3, _PIECE):
+        b = spelled[at : at + _PIECE + 3]
+        hashed = ((b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)) >> shift
+        total += [row[hashed].sum(dtype=np.float64) for row in matrix]
+    return total / (len(spelled) - 3)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:

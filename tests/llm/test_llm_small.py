@@ -1,0 +1,410 @@
+"""Each operator on awkward rows: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quarrylab.llm import common, components, importance, licenses, near_duplicates, nearest, packing, personal_data, positional_index, sharding, shingles, suffix_tree, token_files
+from quarrylab.llm.tokens import WordEncoder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LONG = " ".join(f"w{i % 977} x{i % 13}" for i in range(40_000))
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog and runs away from it all today"),
+    (2, "The quick brown fox jumps over the lazy dog and runs away from it all today"),
+    (2, "The quick brown fox jumps over the lazy dog and runs away from it all today"),
+    (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, "Three words only"), (8, "Naïve café ÜBER straße ΣΑΣ don't <|endoftext|> 日本語 １２"), (None, "no id here"), (9, None),
+]
+#: Names that operators use inside.
+CLASHING = ["row", "words", "lo", "hi", "bands", "key", "term", "pos", "shard", "part", "seg", "score", "label", "root", "block", "low"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    made = spark.createDataFrame(ROWS, "doc_id long, text string")
+    for name in CLASHING:
+        made = made.withColumn(name, F.lit("clash"))
+    return common.stage(made, "rows")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 1), (None, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, "brown fox jumps over the lazy dog and runs away from"), (1, "brown fox jumps over the lazy dog and runs away from"), (2, "lazy dog"), (3, None), (4, "?!"), (5, "unseen words here")], "item_id long, text string")
+
+
+def test_words_encode_as_the_tokenizer_does():
+    encode = WordEncoder(TOKENIZER, memory=3)
+    for _, text in ROWS:
+        assert encode.ids(text).tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids
+    for text in ["don't I'S we'LL ''s 's's", "İstanbul ŉ ǅ Ⅷ \x1c\x1dx ý ́z", "a\x85b \xa0 c", "!!a!! 'tis o'clock' __a__ 12.5€ µº"]:
+        assert encode.ids(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard_documents(docs, [1.0] * 7).collect()
+    assert len(got) == len(ROWS) and sharding.shard_documents(empty, [1.0]).count() == 0
+
+    def winner(key, n):
+        seed = xxhash.xxh64_intdigest((str(key) if key is not None else "\0null").encode(), 42)
+        u = [((xxhash.xxh64_intdigest(s.to_bytes(4, "little"), seed) >> 11) + 0.5) / (1 << 53) for s in range(n)]
+        return min(range(n), key=lambda s: -math.log(u[s]))
+
+    slots = defaultdict(list)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (winner(r.doc_id, 7), winner(r.doc_id, 8)) and r.grown_shard in (r.shard, 7)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = Counter((r.doc_id, r["size"], r.text_crc32) for r in got)
+    assert sizes == Counter((k, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for k, t in ROWS)
+
+
+def test_sharding_by_weight(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    n = Counter(r.shard for r in sharding.shard_documents(rows, [1.0, 3.0, 0.0]).collect())
+    assert n[2] == 0 and abs(n[1] / 20_000 - 0.75) < 0.02
+    for wrong in ([], [0.0], [-1.0, 2.0], [float("nan")]):
+        with pytest.raises(ValueError):
+            sharding.winner(F.lit("x"), dict(enumerate(wrong)))
+
+
+def test_slots_over_several_parts(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("g"))
+    got = common.gapless(rows, "g", ["doc_id"], F.col("doc_id"), 17, "slot").collect()
+    assert all(sorted(r.slot for r in got if r.g == g) == list(range(2500)) for g in (0, 1))
+
+
+@pytest.mark.parametrize("bits", [8, 16])
+def test_codes(bits):
+    rng = np.random.default_rng(1)
+    for ids in ([], [0], [255, 256, 65535, 65536, 2**32 - 1], rng.integers(0, 2**32, 3000), rng.integers(0, 300, 5000)):
+        ids = np.array(ids, np.uint32)
+        segment = token_files.Segment(token_files.encode(ids, bits))
+        assert segment.n_tokens == len(ids) and (segment.slice(0, len(ids)) == ids).all()
+        for _ in range(40):
+            a, b = sorted(rng.integers(0, len(ids) + 1, 2))
+            assert (segment.slice(a, b) == ids[a:b]).all()
+            if a < len(ids):
+                assert segment[int(a)] == ids[a]
+    with pytest.raises(ValueError):
+        token_files.Segment(b"x" * 64)
+
+
+def expected_ids(text):
+    tokenizer = WordEncoder(TOKENIZER).tokenizer
+    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+
+
+def test_token_files(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 1000)
+    for source, want in ((docs, ROWS), (empty, [])):
+        path = f"{common.shared_dir(spark)}/files-{len(want)}"
+        token_files.write_token_files(source, path, TOKENIZER)
+        got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((k for k, _ in want), key=lambda k: (k is not None, k))
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+        ids = Counter((k, zlib.crc32(expected_ids(t).tobytes())) for k, t in want)
+        assert Counter((r.doc_id, r.ids_crc32) for r in got) == ids
+
+
+def test_packing(docs, empty):
+    got = packing.pack(docs, TOKENIZER, limit=256, with_ids=True).collect()
+    whole, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+        whole[r.doc_id, r.doc_tokens].append(r)
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 256 or at & (at - 1) == 0
+    for k, t in ROWS:
+        ids, copies = expected_ids(t), sum((k, t) == x for x in ROWS)
+        pieces = whole[k, len(ids)]
+        assert Counter(i for r in pieces for i in range(r.start, r.start + r.length)) == Counter({i: copies for i in range(len(ids))})
+    assert packing.pack(empty, TOKENIZER).count() == 0
+
+
+def test_hilbert_neighbours():
+    points = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
+    keys = packing.hilbert(points, 3)
+    assert sorted(keys) == list(range(512))
+    assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def plain_signature(items, m):
+    """SuperMinHash element by element, with the same random numbers."""
+    best = [2**64 - 1] * m
+    for e in items:
+        p = list(range(m))
+        for j in range(m):
+            drawn = int(shingles.mix(np.array([(int(e) + int(shingles.GOLDEN) * (j + 1)) % 2**64], np.uint64))[0])
+            k = j + ((drawn & 0xFFFFFFFF) * (m - j) >> 32)
+            p[j], p[k] = p[k], p[j]
+            best[p[j]] = min(best[p[j]], j << 32 | drawn >> 32)
+    return best
+
+
+def test_superminhash():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 9, 60, 300)]
+    for s, got in zip(sets, shingles.superminhash(sets, 24)):
+        assert got.tolist() == plain_signature(s, 24)
+    a, b = sets[4], np.concatenate([sets[4][:225], sets[3]])
+    one, two = shingles.superminhash([a, np.sort(b)], 512)
+    assert abs((one == two).mean() - 225 / (300 + 60)) < 0.06
+
+
+def brute_components(rows):
+    def shingle(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingle(t) for _, t in rows]
+    union = components.UnionFind()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                union.union(i, j)
+    least = defaultdict(list)
+    for i, (k, _) in enumerate(rows):
+        least[union.find(i)].append(k)
+    return Counter((k, len(sets[i]), min((x for x in least[union.find(i)] if x is not None), default=None)) for i, (k, _) in enumerate(rows))
+
+
+def near_copies():
+    """A chain of edits, a star of copies, unlike texts that share a passage."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(25):
+        rows.append((100 + k, " ".join(base)))
+        base = list(base)
+        base[int(rng.integers(0, 120))] = word()
+    star = [word() for _ in range(150)]
+    for k in range(60):
+        copy = list(star)
+        for _ in range(int(rng.integers(0, 5))):
+            copy[int(rng.integers(0, 150))] = word()
+        rows.append((500 - k, " ".join(copy)))
+    passage = [word() for _ in range(60)]
+    rows += [(900 + k, " ".join([word() for _ in range(60)] + passage)) for k in range(10)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK_SHINGLES, 700])
+def test_near_duplicates(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    rows = near_copies()
+    for source, want in ((docs, ROWS), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+        got = near_duplicates.near_duplicates(source).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(want)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    if block != 700:
+        assert near_duplicates.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 205), (205, 203), (7, 300)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in [*range(41), 300]) and got[203] == got[205] == got[200] == 200 and 100 not in got
+
+
+def brute_hits(text, items, window):
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    own, hit, found = words(text), set(), set()
+    for k, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            for j in range(len(own) - n + 1):
+                if own[j : j + n] == w[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    found.add(str(k))
+    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_decontamination(docs, empty, benchmark):
+    items = [tuple(r) for r in benchmark.collect()]
+    got = positional_index.decontamination(docs, benchmark).collect()
+    want = Counter((k, *brute_hits(t, items, 10)) for k, t in ROWS)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
+    assert all(r.contaminated == (r.n_hit > 0) for r in got)
+    assert positional_index.decontamination(empty, benchmark).count() == 0
+    assert not positional_index.decontamination(docs, benchmark.limit(0)).where("contaminated").count()
+
+
+def test_proximity(spark, docs):
+    index = positional_index.build_index(docs)
+    items = positional_index.items_of(spark.createDataFrame([(1, "fox lazy"), (2, "quick today")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in positional_index.proximity(index, items, 5).collect()} == {(1, "1"), (2, "1")}
+    assert {r.item_id for r in positional_index.proximity(index, items, 20).collect()} == {"1", "2"}
+
+
+def test_licenses(spark, docs, empty):
+    texts = [
+        (1, "Some code. This work is licensed under the GNU General Public License, version 3.\nMore"),
+        (2, "released UNDER the mit-license! cc by cc by"), (3, "Licensed under the Apache things, version 2.0"), (4, "apache\nlicense"), (5, "cc bye; license"),
+        (6, "this source form is subject to the terms of the Mozilla public license"), (7, None),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].base_labels, got[1].score) == (1, 8, "gpl", 1.0) and "gpl" in got[1].labels
+    assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels, got[2].n_words) == (3, 3, 7, "cc-by,mit", 9)
+    assert got[3].n_base == 0 and "apache" in got[3].labels and 0.8 <= got[3].score < 1
+    assert got[4].base_labels == "apache" and got[5].labels == "" and got[5].score == 0
+    assert got[6].labels == "mpl" and got[7].n_words == 0 and got[7].first_word is None
+    assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(empty).count() == 0
+
+
+def test_personal_data(docs, empty):
+    text = "Mail a.b@x.example.com or @no, ip 10.0.0.255 and 1.2.3.256; card 4111 1111-1111 1111, call +1 (017) 555-7713. IBAN GB82 WEST 1234 5698 7654 32 x, ssn 123-45-6789"
+    got = personal_data.find(text)
+    assert [(s.kind, text[s.start : s.end]) for s in got] == [
+        ("email", "a.b@x.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (017) 555-7713"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"),
+    ]
+    assert personal_data.redact(text, got).startswith("Mail [EMAIL] or @no, ip [IP] and 1.2.3.256; card [CARD], call [PHONE].")
+    assert not personal_data.find("ref 123-45-6789 part") and not personal_data.find("card 4111 1111 1111 1112")
+    bare, near = personal_data.find("4111111111111111")[0], personal_data.find("visa 4111111111111111")[0]
+    assert near.score > bare.score
+    for slow in ("a" * 200_000, "1" * 200_000, "+1" + "(" * 200_000, "a@" * 100_000, "1." * 100_000, "@a." * 50_000):
+        personal_data.find(slow)
+    rows = personal_data.personal_data(docs).collect()
+    assert len(rows) == len(ROWS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert personal_data.personal_data(empty).count() == 0
+
+
+def test_emails_are_leftmost_matches():
+    import re
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab@@.. -"), 14))
+        assert list(personal_data._emails(text)) == [m.span() for m in plain.finditer(text)]
+
+
+def test_importance(spark, docs, empty, labels):
+    kept = importance.importance_resampling(docs, labels)
+    assert {r.doc_id for r in kept.collect()} <= {k for k, _ in ROWS} and importance.importance_resampling(empty, labels).count() == 0
+    assert importance.importance_resampling(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_importance_learns(spark):
+    """Held-out accuracy: texts with one of a few bad words, and junk, are turned down; clean ones stay."""
+    rng = np.random.default_rng(5)
+    plain, bad = [f"word{i}" for i in range(300)], ["awful", "nasty", "vile"]
+    rows, marks = [], []
+    for k in range(1200):
+        words, kind = list(rng.choice(plain, 60)), k % 6
+        if kind == 0:
+            words[int(rng.integers(0, 60))] = str(rng.choice(bad))
+        if kind == 1:
+            words = [f"{w}&&&" for w in words]
+        rows.append((k, " ".join(words)))
+        if k % 5:
+            marks.append((k, int(kind != 1), int(kind == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in importance.importance_resampling(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert kept == {k for k in range(1200) if k % 6 > 1}
+
+
+def test_kth_largest(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), rng.normal(size=50) * 1e6])
+    df = common.stage(spark.createDataFrame([(float(v),) for v in values], "x double"), "values")
+    order = np.sort(values)[::-1]
+    for k in (1, 2, 60, 1800, 3000, 5000, len(values)):
+        assert importance.kth_largest(df, "x", k, few=100) == order[k - 1]
+    assert importance.kth_largest(df, "x", 0) == math.inf and importance.kth_largest(df, "x", 10**6) == -math.inf and importance.kth_largest(df.limit(0), "x", 1) == -math.inf
+
+
+def test_gumbel_samples_by_weight(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.log(F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0)).alias("log_weight"))
+    got = importance.resample(common.stage(rows, "weights"), 400, temperature=1.0).collect()
+    assert len(got) == 400 and abs(sum(r.doc_id % 2 == 0 for r in got) / 400 - 0.75) < 0.07
+
+
+def test_suffix_tree(docs, empty):
+    got = suffix_tree.score_documents(docs).collect()
+    assert len(got) == len(ROWS) and suffix_tree.score_documents(empty).count() == 0
+    counts = Counter()
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
+    for k, t in ROWS:
+        if not held(k):
+            counts.update([*(t or "").encode().lower().split(), "end"])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for k, t in ROWS:
+        words = [*(t or "").encode().lower().split(), "end"]
+        want[k, held(k), len(words), sum(counts[w] > 0 for w in words), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), 4)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+
+
+def test_suffix_tree_is_a_distribution(spark):
+    """Shares of a class add up to 1 with spelling's mass, states' distributions too, and a tail of rare words scores alike."""
+    rng = np.random.default_rng(7)
+    docs = common.stage(spark.createDataFrame([(k, " ".join(rng.choice(["aa", "bb", "cc", "dab", "eab", "fab"], 30))) for k in range(300)], "doc_id long, text string"), "texts")
+    words = suffix_tree.count_words(docs)
+    classes = suffix_tree.choose_classes(words)
+    speller, tokens, distinct = suffix_tree.learn_spelling(words, classes)
+    tree = suffix_tree.learn_classes(docs, classes)
+    assert np.allclose((10.0**tree.log10_next).sum(axis=1), 1) and np.allclose((10.0**speller.tree.log10_next).sum(axis=1), 1)
+    assert tokens.sum() == 300 * 31 and distinct.sum() == 7
+    one = speller.score([b"aa"])[0]
+    assert np.allclose(speller.score([b"cc", b"aa", b"fab"])[1], one) and speller.score([b"zq"])[0] < one
+    whole = {r.doc_id: r.score for r in suffix_tree.score_documents(docs).collect()}
+    suffix_tree.FREQUENT_WORDS, kept = 2, suffix_tree.FREQUENT_WORDS
+    try:
+        for r in suffix_tree.score_documents(docs).collect():
+            assert math.isclose(r.score, whole[r.doc_id], rel_tol=1e-5)
+    finally:
+        suffix_tree.FREQUENT_WORDS = kept
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:180] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] + [1.0] * 15), (1080, [1.0] * 3), (1100, [float("inf")] * 16), (None, [1.0] * 16)]
+    df = common.stage(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vectors")
+    got = defaultdict(list)
+    for r in nearest.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    d = x.astype(np.float64)
+    hits = 0
+    for q, found in got.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(600), -s))[:20]
+        hits += len({v for v, _ in found} & set(best.tolist()))
+        assert all(abs(p - d[v] @ d[q]) < 1e-9 for v, p in found) and len(found) == 20
+    assert hits / (20 * len(got)) >= 0.9
+    assert [v for v, _ in got[100]] == list(range(101, 121))
+    few = nearest.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
+    assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
