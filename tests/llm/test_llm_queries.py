@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from quarrylab.llm.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -38,29 +38,30 @@ def test_ten_queries():
 
 def test_pipeline(spark):
     """Stage by stage: what goes and what stays, and that every kept token is in the end in one piece."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     columns, sizes = docs.columns, []
     for name, step in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.stage(step(spark, docs, SF), name)
+        after = corpus_pipeline.stage(step(spark, docs, LARGER), name)
         assert after.columns == columns
         old, new = ({r.doc_id: r.text for r in d.collect()} for d in (docs, after))
         assert set(new) <= set(old)
         gone = set(old) - set(new)
         if name == "quality":
-            bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 0 or r.toxic == 1}
-            assert all(any(w in old[k].lower() for w in ("!!", "&&&", "|")) or True for k in gone) and len(bad & gone) > len(gone - bad) / 4
+            bad = {r.doc_id for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if r.quality == 0 or r.toxic == 1}
+            known = {r.doc_id for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+            assert len(bad & gone) > 0.7 * len(bad) and len((known - bad) & gone) < 0.02 * len(known - bad)
         if name == "near_duplicates":
             texts = Counter(new.values())
-            assert max(texts.values()) == 1 and {old[k] for k in gone} - set(new.values()) != set(old.values())
+            assert max(texts.values()) == 1 and gone
         if name == "decontamination":
-            passages = [" ".join(r.text.split()[:10]).lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            passages = [" ".join(r.text.split()[:10]).lower() for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
             assert all(not any(p in " ".join(t.lower().split()) for p in passages) for t in new.values())
         if name == "personal_data":
             assert not gone and all("@mail" not in t for t in new.values())
             assert all(r.n_chars == len(r.text) for r in after.collect())
         docs = after
         sizes.append(len(new))
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, LARGER).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()} and sizes == sorted(sizes, reverse=True)
     total = Counter()
     for r in pieces:
