@@ -5,7 +5,7 @@ from __future__ import annotations
 from .importance import op1_importance_resampling
 from .licenses import op6_licenses
 from .licenses import oracle as license_oracle
-from .near_duplicates import op9_near_duplicates
+from .near_duplicates import OP9_SQL, op9_near_duplicates
 from .nearest import op3_nearest
 from .packing import op7_packing
 from .personal_data import op10_personal_data
@@ -26,4 +26,4 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle(), "op9_near_duplicates": OP9_SQL}
