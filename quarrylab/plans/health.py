@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +22,20 @@ def score(tables: dict[str, DataFrame], orphans: DataFrame | None = None) -> Dat
 
 def status(points: int) -> str:
     return "HEALTHY" if points >= 80 else "ISSUES_FOUND" if points >= 50 else "CRITICAL"
+
+
+def batch_health_check(spark: SparkSession, roots: Sequence[str], fix: bool = False) -> dict:
+    """The health of several stores, and how many are of each status; a store that isn't there is CRITICAL."""
+    from .store import Store
+
+    reports = {}
+    for root in roots:
+        try:
+            with Store(spark, root, mode="rw") as store:
+                if fix:
+                    store.optimize()
+                reports[str(root)] = store.check_health()
+        except FileNotFoundError:
+            reports[str(root)] = {"tables": {}, "issues": ["there is no store"], "health_score": 0, "status": status(0)}
+    statuses = [r["status"] for r in reports.values()]
+    return {"reports": reports, "summary": {s: statuses.count(s) for s in ("HEALTHY", "ISSUES_FOUND", "CRITICAL")}}

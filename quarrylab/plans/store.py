@@ -434,9 +434,9 @@ class Store(Versions):
                 raise ValueError(f"unknown columns: {', '.join(unknown)}")
             plain = lambda v: v.item() if isinstance(v, np.generic) else bytes(v) if isinstance(v, (bytearray, memoryview)) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
             fit = lambda c, v: float(v) if isinstance(kinds[c], T.DoubleType) and isinstance(v, int) and not isinstance(v, bool) else v
-            new = self.spark.createDataFrame([tuple(fit(c, plain(r.get(c))) for c in names) for r in new], T.StructType([T.StructField(c, kinds[c]) for c in names]))
+            new = self.spark.createDataFrame([tuple(fit(c, plain(r.get(c))) for c in names) for r in new], T.StructType([T.StructField(c, kinds[c]) for c in names])).coalesce(1)  # so that they are numbered in a row
         elif isinstance(new, pd.DataFrame):
-            new = self.spark.createDataFrame(new)
+            new = self.spark.createDataFrame(new).coalesce(1)
         for c, d in self._meta(table)["defaults"].items():
             if c not in new.columns:
                 new = new.withColumn(c, F.expr(d))
@@ -521,6 +521,25 @@ class Store(Versions):
         with self._change():
             self._replace(table, self._stored(table).orderBy(*rows.order_columns(order_by)), check=False)
 
+    def truncate_table(self, table: str) -> None:
+        with self._change():
+            self._meta(table)["files"] = []
+
+    def is_loadable(self, table: str | None = None) -> bool:
+        """Whether rows of the table, or of all tables, can be read, and its array cells have their hashes."""
+        try:
+            for name in [table] if table else self.get_table_names():
+                self.read(name).limit(1).collect()
+                columns = self.read(name).columns
+                for c in columns:
+                    if f"{c}_is_compressed" in columns and not arrays.verify(self.read(name).where(F.col(f"{c}_hash").isNotNull()), c).where(~F.col(f"{c}_ok")).isEmpty():
+                        return False
+        except Exception:  # whatever a damaged file or cell raises
+            return False
+        return True
+
+    list_tables, list_indexes, upsert = get_table_names, get_indexes, replace_many
+
     # Arrays and objects
 
     def save_arrays(self, table: str, data: dict[str, np.ndarray], ids: int | Sequence[int] | None = None, additional_columns: dict | None = None, compress: bool | None = None, compress_level: int = 6) -> None:
