@@ -33,13 +33,13 @@ EFFECT = 1.0
 #: ... and no more than those of the largest G carry one, in each pool.
 WEIGHTS = 200_000
 #: n-grams that a fitting task holds before it hands on their counts.
-_HELD = 2_000_000
+_HELD = 1_000_000
 #: Scale of the Gumbel noise; 1 samples in proportion to w, 0 takes the k best.
 TEMPERATURE = 0.25
 POOLS = {"low_quality": "quality = 0", "toxic": "toxic = 1 and quality <> 0"}
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMORY = 400_000
+_MEMORY = 100_000
 #: Tokens hashed at once: longer texts go in overlapping pieces.
 _PIECE = 1_000_000
 _MARK, _UPPER, _OTHER, _AGAIN = range(4)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers before it starts anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
