@@ -15,6 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ from .shingles import GOLDEN, band_hashes, mix, shingle_set, superminhash
 BUCKETS = 1 << 40
 #: At most so many labelled documents are learned from: those of the smallest hash of doc_id.
 FIT_ROWS = 20_000
-#: Buckets whose document counts don't differ by this G statistic carry no weight (p about 4e-8), ...
-SIGNIFICANT = 30.0
+#: Buckets whose document counts don't differ by this G statistic carry no weight (p about 8e-6), ...
+SIGNIFICANT = 20.0
 #: ... nor those whose log ratio is less, ...
-EFFECT = 1.0
+EFFECT = 2.5
 #: ... and no more than those of the largest G carry one, in each pool.
 WEIGHTS = 200_000
 #: n-grams that a fitting task holds before it hands on their counts.
@@ -42,19 +43,20 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMORY = 100_000
 #: Tokens hashed at once: longer texts go in overlapping pieces.
 _PIECE = 1_000_000
+#: Letters of a word's beginning.
+_BEGINNING = 5
 _MARK, _UPPER, _OTHER, _AGAIN = range(4)
 
 
 class _Tokens(dict):
-    """token -> its lower-case hash, with its shape in the lowest two bits."""
-
-    def __missing__(self, token: str) -> int:
-        import xxhash
+    """token -> its lower-case hash, with its shape in the lowest two bits, and the hash of its beginning."""
 
+    def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) > _MEMORY:
             self.clear()
         shape = _MARK if not (token[0].isalnum() or token[0] == "_") else _UPPER if len(token) > 1 and token.isupper() else _OTHER
-        value = self[token] = xxhash.xxh3_64_intdigest(token.lower()) & ~3 | shape
+        lower = token.lower()
+        value = self[token] = xxhash.xxh3_64_intdigest(lower) & ~3 | shape, xxhash.xxh3_64_intdigest(lower[:_BEGINNING], seed=1)
         return value
 
 
@@ -62,15 +64,18 @@ _tokens = _Tokens()
 
 
 def buckets_of(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Distinct buckets of a text's words, word pairs and runs of four token shapes; none for a null text."""
+    """Distinct buckets of a text's words, word pairs, runs of four token shapes, and beginnings of words that it has once,
+    twice and three times; none for a null text."""
     found = []
     tokens = _TOKEN.findall(text) if text else []
     for at in range(0, len(tokens), _PIECE):
-        codes = np.array([_tokens[t] for t in tokens[at : at + _PIECE + 3]], np.uint64)
+        codes, starts = np.array([_tokens[t] for t in tokens[at : at + _PIECE + 3]], np.uint64).T
         words, shapes = codes & ~np.uint64(3), (codes & np.uint64(3)).astype(np.int64)
         shapes[1:][words[1:] == words[:-1]] = _AGAIN
         runs = shapes[:-3] * 64 + shapes[1:-2] * 16 + shapes[2:-1] * 4 + shapes[3:] if len(shapes) > 3 else np.zeros(0, np.int64)
         found += [mix(words), mix(words[:-1] * GOLDEN + words[1:]), mix(runs.astype(np.uint64) + np.uint64(1))]
+        starts, times = np.unique(starts, return_counts=True)
+        found += [mix(starts[times >= n] + np.uint64(n)) for n in (1, 2, 3)]
     return np.unique(np.concatenate(found) % np.uint64(buckets)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
