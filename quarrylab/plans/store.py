@@ -673,7 +673,7 @@ class Store(Versions):
 
     def check_health(self) -> dict:
         """Loadability of every table, empty ones, orphans, and the score."""
-        from .health import score, status
+        from .health import status
 
         issues, tables, orphans = [], {}, None
         for name in self.get_table_names():
