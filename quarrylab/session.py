@@ -28,12 +28,15 @@ def build_spark(master: str = "local[*]", partitions: int | None = None, **conf:
     return builder.getOrCreate()
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named, as in tests."""
+    """The folder that driver and executors share; a local one, for all of a session, only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        own = spark.sparkContext.applicationId
+        named = _folders.get(own) or _folders.setdefault(own, tempfile.mkdtemp(prefix="spark-shared-"))
     return named.rstrip("/")
 
 
