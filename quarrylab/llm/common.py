@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import shared_dir
 
@@ -25,6 +30,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
+    """As df.mapInPandas(f, schema), but with frames of a few rows, so that a task holds few texts as Python objects."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (batch.slice(at, rows).to_pandas() for batch in batches for at in range(0, batch.num_rows, rows))
+        for found in f(frames):
+            yield pa.RecordBatch.from_pandas(found, fields, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(apply, schema)
+
+
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import in_slices, read, stage
 from .components import UnionFind
 from .shingles import GOLDEN, band_hashes, mix, shingle_set, superminhash
 
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, pools: dict[str, str] = POOLS, rows:
     classes = F.when(sum(flags) == 0, 1).otherwise(0) + sum(f * (2 << k) for k, f in enumerate(flags))
     spark = docs.sparkSession
     rows_of = lambda picked: docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    bands = rows_of(picked.select(F.col("doc_id").cast("long"), classes.alias("classes"))).mapInPandas(_bands, "doc_id long, classes int, bands array<long>")
+    bands = in_slices(rows_of(picked.select(F.col("doc_id").cast("long"), classes.alias("classes"))), _bands, "doc_id long, classes int, bands array<long>")
     sample = rows_of(spark.createDataFrame(_one_each(bands.toArrow()), "doc_id long, classes int"))
     kinds = 2 << len(pools)
 
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, pools: dict[str, str] = POOLS, rows:
 
     names = ["target", *pools]
     sums = [F.sum(F.when(F.col("classes").bitwiseAND(1 << k) != 0, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(names)]
-    found = sample.select("text", "classes").mapInPandas(count, "bucket long, classes long, n long").groupBy("bucket").agg(*sums)
+    found = in_slices(sample.select("text", "classes"), count, "bucket long, classes long, n long").groupBy("bucket").agg(*sums)
     counts = stage(found.where(" or ".join(f"{name} > 1" for name in names) + " or bucket = -1"), "ngrams")
     sizes = counts.where("bucket = -1").first()
     model = Model([], [], [], space)
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             sizes, values = [], []
-            for text in batch["text"].to_pylist():
+            for text in (t for at in range(0, len(batch), 500) for t in batch["text"].slice(at, 500).to_pylist()):
                 seen = buckets_of(text, model.space)
                 sizes.append(len(seen))
                 values.append(model.log_weight(seen))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, read, stage
-from .components import UnionFind, components
+from .common import bounded, in_slices, read, stage
+from .components import components
 from .shingles import band_hashes, fingerprint, shingle_set, superminhash
 
 #: 45 bands of 5 slots: a pair of similarity 0.75 shares a band but for 5 in a million times.
@@ -45,7 +45,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         return pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "text_hash": batch.text_hash.to_numpy(), "n_shingles": [len(s) for s in sets], "lo": pd.array(lo, "Int64"), "hi": pd.array(hi, "Int64"), "bands": keys})
 
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return source.mapInPandas(make, "doc_id long, text_hash long, n_shingles long, lo long, hi long, bands array<long>")
+    return in_slices(source, make, "doc_id long, text_hash long, n_shingles long, lo long, hi long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_slices, read
 from .shingles import GOLDEN, mix
 from .tokens import encoder
 
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 2048, wi
 
     source = docs.select(F.col("doc_id").cast("long"), "text", curve_key(F.col("text")).alias("key"))
     ordered = source.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
-    return ordered.select("doc_id", "text").mapInPandas(place, fields)
+    return in_slices(ordered.select("doc_id", "text"), place, fields)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

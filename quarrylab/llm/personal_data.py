@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_slices, read
 
 
 class Span(NamedTuple):
@@ -160,7 +160,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     fields = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string"
-    return docs.select(F.col("doc_id").cast("long"), candidate(F.col("text")).alias("candidate")).mapInPandas(scan, fields)
+    return in_slices(docs.select(F.col("doc_id").cast("long"), candidate(F.col("text")).alias("candidate")), scan, fields)
 
 
 def redacted(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import in_slices, read, shared_dir
 from .tokens import encoder
 
 MAGIC = b"QDAC"
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(segments, SEGMENT_SCHEMA).write.parquet(path)
+    in_slices(ordered, segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words kept in a worker's memory before it starts anew.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 120_000
 #: ASCII marks that may end a word as one piece; the apostrophe is left out, since it may open a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
