@@ -40,13 +40,26 @@ LIKELIER = {
 LESS_LIKELY = {"ip": ("version", "release", "build"), "card": ("isbn", "serial", "order"), "phone": ("order", "serial"), "ssn": ("part", "order", "serial")}
 #: IBAN lengths outside 15..34 don't exist.
 IBAN_LENGTH = range(15, 35)
+#: A country's own length, from the IBAN registry and the countries that use IBANs without an entry there.
+COUNTRY_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+        27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = {n: re.compile(r"(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for n in set(COUNTRY_LENGTH.values())}
+_IBAN_ANY = re.compile(r"(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z][a-z-]*")
 
@@ -80,12 +93,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that hold mod-97, each as long as its country's IBANs are, or as far as it goes where no length is known for the country."""
+    free = 0
+    for m in _IBAN_START.finditer(text):
+        if m.start() < free or not (rest := _IBAN_REST.get(COUNTRY_LENGTH.get(m[1]), _IBAN_ANY).match(text, m.end())):
+            continue
+        if len(compact := text[m.start() : rest.end()].replace(" ", "")) in IBAN_LENGTH and mod97(compact):
+            free = rest.end()
+            yield m.start(), free
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
-    """Confirmed spans of all kinds; a match that a check refuses is dropped and not tried again shorter."""
+    """Confirmed spans of all kinds; a match of a base kind that a check refuses is dropped and not tried again shorter."""
     if "@" in text:
         yield from (("email", a, b) for a, b in _emails(text))
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in m[0].split("."))):
             yield "ip", *m.span()
     for m in _CARD.finditer(text):
         if 12 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
@@ -94,9 +118,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if len(compact := m[0].replace(" ", "")) in IBAN_LENGTH and mod97(compact):
-            yield "iban", *m.span()
+    yield from (("iban", a, b) for a, b in _ibans(text))
     if "-" in text:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":

@@ -296,6 +296,20 @@ def test_personal_data(docs, empty):
     assert personal_data.personal_data(empty).count() == 0
 
 
+def test_iban_ends_where_its_country_says():
+    spans = lambda text: [(s.kind, text[s.start : s.end]) for s in personal_data.find(text)]
+    for iban, after in [
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("DE89370400440532013000", " EUR 500"), ("GB82WEST12345698765432", " I said"), ("GB82WEST12345698765432", " 12 May"),
+        ("NO93 8601 1117 947", ""), ("MT84MALT011000012345MTLCAST001S", " X"),
+    ]:
+        assert [s for s in spans("Pay to " + iban + after) if s[0] == "iban"] == [("iban", iban)]
+    text = "AB12 GB82WEST12345698765432 DE89370400440532013000"
+    assert personal_data.redact(text, personal_data.find(text)) == "AB12 [IBAN] [IBAN]"
+    for wrong in ("GB82WEST12345698765433 x", "DE89370400440532013000EUR", "DE89 3704 0044 0532 0130 x"):
+        assert not [s for s in spans(wrong) if s[0] == "iban"]
+    assert spans("ip " + "0" * 5000 + ".0.0.1")[0][0] == "ip"
+
+
 def test_emails_are_leftmost_matches():
     import re
 
