@@ -34,6 +34,12 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 ]
+#: For each template, words that must stand in this order in what matches it, and words that mustn't come next: without them it's another licence.
+MARKS = [
+    ("gnu general public", ""), ("lesser general public", ""), ("affero general public", ""), ("apache", ""), ("cc by", "nc nd sa"),
+    ("attribution", "sharealike share noncommercial non noderivatives noderivs no"), ("attribution sharealike", ""), ("waived", ""), ("mit", ""), ("hereby granted", ""),
+    ("redistribution", ""), ("mozilla public", ""), ("rights reserved", ""),
+]
 THRESHOLD = 0.8
 #: Blocks end at a line's end and at a sentence's.
 BLOCK_ENDS = r"\n|[.!?](?=\s)"
@@ -125,6 +131,55 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     )
 
 
+def mark_places(words: Column, template: Column) -> Column:
+    """Places in words where the template's mark stands, and isn't followed by a word that makes it another."""
+    mark = template["mark"]
+    here = lambda i: (F.slice(words, i + 1, F.size(mark)) == mark) & ~F.array_contains(template["not_next"], F.coalesce(F.get(words, i + F.size(mark)), F.lit("")))
+    return F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)).otherwise(F.array().cast("array<int>"))
+
+
+def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, marks: list[tuple[str, str]] = MARKS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, notices (labels of templates matched with their marks), score (the largest share, else 0).
+
+    A template matches a block of the text as in license_scan, if its mark stands in the block too. Null texts hold
+    nothing, rows may repeat, other columns are ignored. Row-local: only rows that hold enough of a template's words
+    are looked at closely, without a shuffle.
+    """
+    if len(templates) != len(marks):
+        raise ValueError("each template needs one mark")
+    fields = "array<struct<label: string, words: array<string>, length: int, least: int, mark: array<string>, not_next: array<string>>>"
+    split = docs.sparkSession.createDataFrame([(t, m, n) for (_, t), (m, n) in zip(templates, marks)], "text string, mark string, not_next string")
+    split = split.select(*[plain_words(F.col(c)).alias(c) for c in split.columns]).collect()
+    known, listed = set(), []
+    for (label, _), r in zip(templates, split):
+        distinct = list(dict.fromkeys(r["text"]))
+        known |= {*distinct, *r["mark"]}
+        if distinct:
+            listed.append(F.struct(
+                F.lit(label).alias("label"), strings(distinct).alias("words"), F.lit(len(r["text"])).alias("length"), F.lit(math.ceil(threshold * len(distinct) - 1e-9)).alias("least"),
+                strings(r["mark"]).alias("mark"), strings(r["not_next"]).alias("not_next"),
+            ))
+    low = docs.select("doc_id", lower_ascii(F.col("text")).alias("low"))
+    rows = low.withColumn("words", plain_words(F.col("low")))
+    present = rows.withColumn("present", F.array_intersect("words", strings(sorted(known))))
+    enough = lambda t: (F.size(F.array_intersect(F.col("present"), t["words"])) >= t["least"]) & (F.size(F.array_except(t["mark"], F.col("present"))) == 0)
+    close = present.withColumn("near", F.filter(F.array(*listed).cast(fields), enough))
+    blocks = F.transform(F.split("low", BLOCK_ENDS), lambda b: F.array_remove(F.split(b, SEPARATORS), ""))
+
+    def share(t: Column) -> Column:
+        shared = lambda words: F.size(F.array_intersect(words, t["words"]))
+        of_blocks = F.transform(blocks, lambda b: F.when(shared(b) >= t["least"], F.when(F.size(mark_places(b, t)) > 0, shared(b))))
+        return F.array_max(of_blocks) / F.size(t["words"])
+
+    hits = F.filter(F.transform("near", lambda t: F.struct(t["label"].alias("label"), share(t).alias("share"))), lambda x: x["share"].isNotNull())
+    found = close.withColumn("hits", F.when(F.size("near") > 0, hits))
+    return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.coalesce("hits.label", F.array().cast("array<string>")))), ",").alias("notices"), F.coalesce(F.array_max("hits.share"), F.lit(0.0)).alias("score"))
+
+
+def op6_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(read(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).drop("n_blocks")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .importance import op1_importance_resampling
-from .licenses import op6_licenses
+from .licenses import op6_licenses, op6_notices
 from .licenses import oracle as license_oracle
 from .near_duplicates import OP9_SQL, op9_near_duplicates
 from .nearest import op3_nearest
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op5_decontamination": op5_decontamination,
     "op6_licenses": op6_licenses,
+    "op6_notices": op6_notices,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
 }

@@ -279,6 +279,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(empty).count() == 0
 
 
+def test_license_notices_need_their_own_words(spark, docs, empty):
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        "Licensed under the GNU Affero General Public License": "agpl", "Released under the Apache license": "", "Released under the MIT License.": "mit",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "Licensed under CC BY-NC 4.0.": "", "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under the Apache License, Version 2.0. Released under the MIT license": "apache,mit", "": "", "x\n\n": "",
+    }
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_notices(made).collect()}
+    assert [got[k].notices for k in range(len(texts))] == list(texts.values())
+    assert got[0].score == 1 and 0.8 <= got[1].score < 1 and got[3].score == 0
+    assert licenses.license_notices(docs).count() == len(ROWS) and licenses.license_notices(empty).count() == 0
+    assert {r.notices for r in licenses.license_notices(docs).collect()} == {""}
+
+
 def test_personal_data(docs, empty):
     text = "Mail a.b@x.example.com or @no, ip 10.0.0.255 and 1.2.3.256; card 4111 1111-1111 1111, call +1 (017) 555-7713. IBAN GB82 WEST 1234 5698 7654 32 x, ssn 123-45-6789"
     got = personal_data.find(text)
