@@ -141,8 +141,8 @@ def mark_places(words: Column, template: Column) -> Column:
 def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, marks: list[tuple[str, str]] = MARKS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, notices (labels of templates matched with their marks), score (the largest share, else 0).
 
-    A template matches a block of the text as in license_scan, if its mark stands in the block too. Null texts hold
-    nothing, rows may repeat, other columns are ignored. Row-local: only rows that hold enough of a template's words
+    A template matches a block of the text as in license_scan, if its mark stands in the block too; or as many words in
+    a row as it has itself, around its mark, wherever lines, sentences and paragraphs end. Null texts hold nothing, rows may repeat, other columns are ignored. Row-local: only rows that hold enough of a template's words
     are looked at closely, without a shuffle.
     """
     if len(templates) != len(marks):
@@ -169,7 +169,12 @@ def license_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     def share(t: Column) -> Column:
         shared = lambda words: F.size(F.array_intersect(words, t["words"]))
         of_blocks = F.transform(blocks, lambda b: F.when(shared(b) >= t["least"], F.when(F.size(mark_places(b, t)) > 0, shared(b))))
-        return F.array_max(of_blocks) / F.size(t["words"])
+        # All windows of the template's length that hold the mark, over the whole text.
+        size, last = F.size("words"), F.greatest(F.size("words") - t["length"], F.lit(0))
+        starts = F.transform(mark_places(F.col("words"), t), lambda p: F.sequence(F.greatest(p + F.size(t["mark"]) - t["length"], F.lit(0)), F.least(p, last)))
+        of_windows = F.transform(F.array_distinct(F.flatten(starts)), lambda s: shared(F.slice("words", s + 1, F.least(t["length"], size))))
+        most = F.array_max(F.concat(of_blocks, F.filter(of_windows, lambda n: n >= t["least"])))
+        return most / F.size(t["words"])
 
     hits = F.filter(F.transform("near", lambda t: F.struct(t["label"].alias("label"), share(t).alias("share"))), lambda x: x["share"].isNotNull())
     found = close.withColumn("hits", F.when(F.size("near") > 0, hits))

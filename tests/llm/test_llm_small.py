@@ -295,6 +295,28 @@ def test_license_notices_need_their_own_words(spark, docs, empty):
     assert {r.notices for r in licenses.license_notices(docs).collect()} == {""}
 
 
+def test_license_notices_across_line_ends(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mit = "Permission is hereby granted, free of charge, to any person\r\nobtaining a copy of this software"
+    texts = [bsd, "intro\n\n" + mit + "\n\nend", mit.replace("hereby", "not"), bsd + "\n" + mit, "Released under\nthe\nMIT\nLicense", "licensed under the GNU Lesser\nGeneral Public License. This library is"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.notices for r in licenses.license_notices(made).orderBy("doc_id").collect()] == ["bsd", "mit", "", "bsd,mit", "mit", "lgpl"]
+    # Against plain Python on shuffled words.
+    rng = np.random.default_rng(6)
+    words = "licensed under the gnu affero general public license x y\n".split(" ")
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(200)] + ["licensed under the gnu\naffero general public license"]
+    template, mark = "licensed under the gnu affero general public license", "general public"
+    parts = template.split()
+
+    def expected(text):
+        spans = [b.split() for b in text.split("\n")] + [w[i : i + 8] for w in [text.split()] for i in range(len(w) - 7)]
+        return max((len({*s} & {*parts}) / 8 for s in spans if len({*s} & {*parts}) >= 7 and f" {mark} " in f" {' '.join(s)} "), default=0.0)
+
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.license_notices(made, [("agpl", template)], [(mark, "")]).orderBy("doc_id").collect()
+    assert [r.score for r in got] == [expected(t) for t in texts] and got[-1].notices == "agpl"
+
+
 def test_personal_data(docs, empty):
     text = "Mail a.b@x.example.com or @no, ip 10.0.0.255 and 1.2.3.256; card 4111 1111-1111 1111, call +1 (017) 555-7713. IBAN GB82 WEST 1234 5698 7654 32 x, ssn 123-45-6789"
     got = personal_data.find(text)
