@@ -70,6 +70,12 @@ def rows_no_blobs(t):
     return rows.get_rows(stored, where="vec_id < 100", include_blobs=False)
 
 
+@query("SELECT vec_id, label FROM embeddings")
+def rows_no_blobs_all(t):
+    stored = t.embeddings.select("vec_id", "label", F.encode(F.to_json("embedding"), "UTF-8").alias("data"))
+    return rows.get_rows(stored, include_blobs=False)
+
+
 @query("SELECT count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 100")
 def row_count_where(t):
     return rows.count_rows(t.events, "event_type = 'purchase' AND value > 100")
@@ -374,6 +380,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 sql("sql_join_inner", "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
 sql("sql_join_left", "SELECT c_custkey, count(o_orderkey) AS orders FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY c_custkey")
 sql("sql_join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey <= 50) FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey > 25) ON c_custkey = s_suppkey")
+sql("sql_join_full_all", "SELECT c_custkey, s_suppkey FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey AND c_acctbal > 0")
 sql("sql_join_semi", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 sql("sql_join_anti", "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
 sql("sql_join_range", "SELECT a.event_id AS first_id, b.event_id AS second_id FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")

@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert table([tuple(r) for r in df.collect()], df.columns) == table(want.fetchall(), want.columns)
 
 
+def test_whole_tables(spark, duck):
+    """As many rows as the tables have, with both kinds of unmatched rows."""
+    assert catalog.QUERIES["rows_no_blobs_all"](spark, SF).count() == duck.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+    joined = catalog.QUERIES["sql_join_full_all"](spark, SF)
+    assert joined.where("c_custkey IS NOT NULL").count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert joined.where("s_suppkey IS NOT NULL").count() == duck.sql("SELECT count(*) FROM supplier").fetchall()[0][0]
+    assert joined.where("c_custkey IS NULL").count() and joined.where("s_suppkey IS NULL").count()
+
+
 def test_contract(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
