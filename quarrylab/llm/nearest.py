@@ -76,7 +76,7 @@ def fit(sample: np.ndarray, rows: int) -> Quantiser:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part: of finite numbers, not all zero, and as many as most rows have."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select(F.col("vec_id").cast("long"), "embedding")
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("embedding") == (common["n"] if common else 0))
 
@@ -88,7 +88,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = PROBE, margin: float = MARGIN) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest rows of vectors by inner product, but for its own vec_id.
 
-    vectors and queries: (vec_id, embedding); several queries of one vec_id count as one. A query looks into `probe`
+    vectors and queries: (vec_id, embedding), other columns are ignored; of several queries of one vec_id the one of the least
+    vector is taken, repeated rows of vectors are found once each. Scores are of the original vectors, in double precision. A query looks into `probe`
     of the lists and as many more as it takes to meet 4 * k rows. There, rows are rated by the tables of asymmetric
     distances, and all that may be among the k best for all that the error of their codes can tell are reranked. Index blocks have a bounded size, however many
     rows a list has; queries are streamed past them. Ties go to the smaller vec_id. Rows that are null, zero or not
@@ -111,19 +112,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float =
             codes = shared.value.encode(x, lists)
             yield batch.assign(list=lists.astype(np.int32), codes=[c.tobytes() for c in codes], error=shared.value.errors(x, lists, codes))
 
-    indexed = stage(rows.mapInPandas(index, "vec_id long, embedding array<float>, list int, codes binary, error double"), "ivf")
+    indexed = stage(rows.mapInPandas(index, "vec_id long, embedding array<double>, list int, codes binary, error double"), "ivf")
     # Lists are laid out in a row, as many rows to a block, long ones over several: from the list's size alone.
     sizes = np.zeros(len(quantiser.centroids), np.int64)
     for r in indexed.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    pieces = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
-    piece_rows = np.repeat(sizes / pieces, pieces)
-    block_of = ((np.cumsum(piece_rows) - piece_rows) // BLOCK_ROWS).astype(np.int32)
-    layout = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes)), "first": first, "pieces": pieces}), "list int, first long, pieces long")
-    places = spark.createDataFrame(pd.DataFrame({"piece": np.arange(len(block_of)), "block": block_of}), "piece long, block int")
-    piece = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
-    stored = indexed.join(F.broadcast(layout), "list").withColumn("piece", piece).join(F.broadcast(places), "piece")
+    pieces, before = np.maximum(1, -(-sizes // BLOCK_ROWS)), np.cumsum(sizes) - sizes
+    layout = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes)), "before": before, "size": sizes, "pieces": pieces}), "list int, before long, size long, pieces long")  # LISTS rows at most
+    piece = F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
+    block = F.expr(f"((before * pieces + _piece * size) div (pieces * {BLOCK_ROWS}))").cast("int")
+    stored = indexed.join(F.broadcast(layout), "list").withColumn("_piece", piece).withColumn("block", block)
     least = max(1, math.ceil(probe * len(sizes)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,12 +133,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float =
                 chosen = lists[:n]
                 blocks: dict[int, list[int]] = {}
                 for l in chosen[sizes[chosen] > 0].tolist():
-                    for b in np.unique(block_of[first[l] : first[l] + pieces[l]]).tolist():
+                    for b in np.unique((before[l] * pieces[l] + np.arange(pieces[l]) * sizes[l]) // (pieces[l] * BLOCK_ROWS)).tolist():
                         blocks.setdefault(b, []).append(l)
                 out += [(b, query, vector, ls) for b, ls in blocks.items()]
             yield pd.DataFrame(out, columns=["block", "id", "embedding", "lists"])
 
-    asked = usable(queries).dropDuplicates(["vec_id"]).mapInPandas(route, "block int, id long, embedding array<float>, lists array<int>")
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(route, "block int, id long, embedding array<double>, lists array<int>")
     both = stored.select("block", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "embedding", F.array("list").alias("lists"), "codes", "error").union(
         asked.select("block", F.lit(1), "id", "embedding", "lists", F.lit(None).cast("binary"), F.lit(None).cast("double"))
     )
