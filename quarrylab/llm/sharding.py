@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless, read
+from .common import gapless, read, stage
 
 #: Rows of one shard that one task numbers.
 SLOT_ROWS = 20_000
@@ -48,13 +48,15 @@ def rendezvous(df: DataFrame, key: Column, weights: list[float], grown_weight: f
 def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float = 1.0) -> DataFrame:
     """Put documents into shards by doc_id, and number each shard's rows from 0 without gaps.
 
-    Null texts count as empty; equal doc_ids (and null ones) share a shard; an empty table gives an empty one.
+    Null texts count as empty, texts of any length are hashed whole; equal doc_ids (and null ones) share a shard; repeated rows get
+    slots of their own; other columns are ignored, whatever their names; an empty table gives an empty one. Slots are numbered in parts that go by a
+    number of the row's own, so that a doc_id on many rows is in no one task.
     """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
-    rows = rendezvous(rows, F.col("doc_id"), weights, grown_weight)
-    buckets = max(1, math.ceil(docs.count() / len(weights) / SLOT_ROWS))
-    return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], F.col("doc_id"), buckets, "slot").select(
+    rows = stage(rendezvous(rows, F.col("doc_id"), weights, grown_weight).withColumn("_row", F.monotonically_increasing_id()), "sharded")
+    buckets = max(1, math.ceil(rows.count() / len(weights) / SLOT_ROWS))
+    return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], F.col("_row"), buckets, "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 
