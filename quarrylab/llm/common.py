@@ -13,12 +13,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import shared_dir
+from .words import frames, trim
+
+#: Settings under which tasks hold few long texts at once, and Spark's own values: what somebody has set otherwise stays.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(2 << 20)),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this (about 50 MB).
 BROADCAST_ROWS = 1_000_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    for name, (usual, small) in SMALL_BATCHES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, small)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -26,21 +40,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 500) -> DataFrame:
-    """As df.mapInPandas(f, schema), but with frames of a few rows, so that a task holds few texts as Python objects."""
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As df.mapInArrow(f, schema), with batches of few bytes, and with the worker's free memory given back at the end."""
+    small_batches(df.sparkSession)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(apply, schema)
+
+
+def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, by: str = "text") -> DataFrame:
+    """As df.mapInPandas(f, schema), but with frames of few rows and few bytes of the column `by`, so that a task holds few texts as Python objects."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = (batch.slice(at, rows).to_pandas() for batch in batches for at in range(0, batch.num_rows, rows))
-        for found in f(frames):
+        for found in f(frame.to_pandas() for frame in frames(batches, by)):
             yield pa.RecordBatch.from_pandas(found, fields, preserve_index=False)
-        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(apply, schema)
+    return mapped(df, apply, schema)
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, lower_ascii, plain_words, read
+from .common import SEPARATORS, lower_ascii, plain_words, read, stage
 
 #: Phrases to find as consecutive words, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -43,8 +43,6 @@ MARKS = [
 THRESHOLD = 0.8
 #: Blocks end at a line's end and at a sentence's.
 BLOCK_ENDS = r"\n|[.!?](?=\s)"
-#: Templates are a parameter, kept in the plan; more different words than this are refused.
-MOST_WORDS = 10_000
 
 
 class Template(NamedTuple):
@@ -57,17 +55,10 @@ class Template(NamedTuple):
         return self.words[: len(self.words) - self.least + 1]
 
 
-def ordered_templates(words: DataFrame, templates: list[tuple[str, str]], threshold: float) -> tuple[list[Template], list[str]]:
-    """The templates, and all their words, by frequency in words (an array column of that name), rarest first."""
-    split = words.sparkSession.createDataFrame([(t,) for _, t in templates], "text string").select(plain_words(F.col("text")).alias("w")).collect()
-    known = sorted({w for r in split for w in r["w"]})
-    if len(known) > MOST_WORDS:
-        raise ValueError(f"templates of more than {MOST_WORDS} different words")
-    each = words.select(F.explode("words").alias("word")).where(F.col("word").isin(known))
-    often = {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = {w: k for k, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
-    sets = [sorted(set(r["w"]), key=order.get) for r in split]
-    return [Template(label, s, math.ceil(threshold * len(s) - 1e-9)) for (label, _), s in zip(templates, sets) if s], sorted(known, key=order.get)
+def ordered_templates(templates: list[tuple[str, list[str]]], often: dict[str, int], threshold: float) -> list[Template]:
+    """The templates (label, words) that have words, each with its distinct words by frequency, rarest first."""
+    order = lambda w: (often.get(w, 0), w)
+    return [Template(label, sorted(set(words), key=order), math.ceil(threshold * len(set(words)) - 1e-9)) for label, words in templates if words]
 
 
 def strings(values: list[str]) -> Column:
@@ -87,26 +78,36 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """Per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     score is 1 where a phrase stands, else the largest share of a template in a block that reaches the threshold,
-    else 0. Null texts are empty and hold nothing. Rows may repeat; other columns are ignored; an empty table
-    gives an empty one. All matches of a block come from one join, in which no key is on more rows than one document.
+    else 0. Null texts are empty and hold nothing. Rows may repeat; other columns are ignored; an empty table or an empty list of
+    templates or phrases is fine. All matches of a block come from one join, in which no key is on more rows than one document. The texts are
+    split once: what is staged of a block is its template words. Templates are a parameter, their words kept in the plan; a text of
+    any length is one row.
     """
     spark = docs.sparkSession
-    found, vocabulary = ordered_templates(docs.select(plain_words(F.col("text")).alias("words")), templates, threshold)
-    prefixes = sorted({w for t in found for w in t.prefix})
-    least = min(t.least for t in found)
+    split = spark.createDataFrame([(t,) for _, t in templates], "text string").select(plain_words(F.col("text")).alias("w")).collect()
+    parts = [(label, r["w"]) for (label, _), r in zip(templates, split)]
+    known = sorted({w for _, ws in parts for w in ws})
+    least = min((math.ceil(threshold * len(set(ws)) - 1e-9) for _, ws in parts if ws), default=0)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lower_ascii(F.col("text")).alias("low"))
     rows = rows.withColumn("words", plain_words(F.col("low")))
     places = rows.select("*", *[phrase_places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(phrases)])
     at = [F.col(f"at{k}") for k in range(len(phrases))]
-    all_at = F.concat(*at)
-    named = F.array_compact(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, phrases.values())]))
-    blocks = F.transform(F.split("low", BLOCK_ENDS), lambda b: F.array_intersect(strings(vocabulary), F.split(b, SEPARATORS)))
-    kept = F.when(F.arrays_overlap("words", strings(prefixes)), F.filter(blocks, lambda b: F.size(b) >= least))
-    base = places.select(
+    all_at = F.concat(*at) if at else F.array().cast("array<int>")
+    named = F.array_compact(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(at, phrases.values())])).cast("array<string>")
+    blocks = F.transform(F.split("low", BLOCK_ENDS), lambda b: F.array_intersect(F.split(b, SEPARATORS), strings(known)))
+    kept = F.when(F.arrays_overlap("words", strings(known)), F.filter(blocks, lambda b: F.size(b) >= max(least, 1))) if known else F.lit(None).cast("array<array<string>>")
+    base = stage(places.select(
         "row", "doc_id", F.size("words").cast("long").alias("n_words"), F.size(all_at).cast("long").alias("n_base"),
         F.array_min(all_at).cast("long").alias("first_word"), F.array_max(all_at).cast("long").alias("last_word"), named.alias("named"), kept.alias("blocks"),
-    )
+    ), "blocks")
+
+    # Frequencies over the blocks that can match; the order of words decides over speed alone.
+    counted = base.select(F.explode(F.flatten("blocks")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = {r["word"]: r["n"] for r in counted.collect()}  # words of templates alone
+    found = ordered_templates(parts, often, threshold)
+    vocabulary = sorted(known, key=lambda w: (often.get(w, 0), w))
+    base = base.withColumn("blocks", F.transform("blocks", lambda b: F.array_intersect(strings(vocabulary), b)))
 
     entries = [(w, k, len(t.words), t.least, j, t.label, t.words) for k, t in enumerate(found) for j, w in enumerate(t.prefix)]
     index = spark.createDataFrame(entries, "word string, template int, size int, least int, place int, label string, template_words array<string>")

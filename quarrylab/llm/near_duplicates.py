@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, in_slices, read, stage
 from .components import components
-from .shingles import band_hashes, fingerprint, shingle_set, superminhash
+from .shingles import band_hashes, fingerprint, shingle_set, shingle_sets, superminhash
 
 #: 45 bands of 5 slots: a pair of similarity 0.75 shares a band but for 5 in a million times.
 BANDS, ROWS = 45, 5
@@ -26,15 +27,13 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            begin, held, sets = 0, 0, []
-            for i, text in enumerate(batch.text.tolist()):
-                sets.append(shingle_set(text, size))
-                held += len(sets[-1])
-                if held >= BATCH_SHINGLES:
-                    yield rows_of(batch.iloc[begin : i + 1], sets)
-                    begin, held, sets = i + 1, 0, []
-            if sets:
-                yield rows_of(batch.iloc[begin:], sets)
+            sets = shingle_sets(pa.array(batch.text, pa.string(), from_pandas=True), size)
+            begin, total = 0, np.cumsum([len(s) for s in sets])
+            while begin < len(sets):
+                before = total[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(total, before + BATCH_SHINGLES, "right")))
+                yield rows_of(batch.iloc[begin:end], sets[begin:end])
+                begin = end
 
     def rows_of(batch: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -82,14 +81,14 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
             return pd.DataFrame({"a": [nodes[a] for a, _ in found], "b": [nodes[b] for _, b in found]}, dtype="int64")
 
         for batch in batches:
-            for root, i, j, lo, hi, text in zip(batch.root, batch.i, batch.j, batch.lo, batch.hi, batch.text):
+            for root, i, j, node, lo, hi, text in zip(batch.root, batch.i, batch.j, batch.node, batch.lo, batch.hi, batch.text):
                 if (root, i, j) != key:
                     yield links()
                     key, nodes, sets = (root, i, j), [], []
                 found = shingle_set(text, size)
                 # A doc_id on several rows brings texts that aren't asked for; a text on several rows comes again.
-                if len(found) and fingerprint(found) == (lo, hi) and (not nodes or nodes[-1] != lo):
-                    nodes.append(lo)
+                if len(found) and fingerprint(found) == (lo, hi) and (not nodes or nodes[-1] != node):
+                    nodes.append(node)
                     sets.append(found)
         yield links()
 
@@ -99,7 +98,7 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, component.
 
-    component names the component by its least set; null without words. Exact copies of a shingle set are one class from the start. Classes that share a band are candidates; the
+    component is a number of the component's; null without words. Exact copies of a shingle set are one class from the start. Classes that share a band are candidates; the
     candidates' connected components are cut into tiles of bounded size, and within a tile every class that
     isn't reached yet is compared on full sets with those reached. So no component is settled by estimates, no group
     sits in one task, and no pairs within a group are emitted but a spanning forest of them.
@@ -109,31 +108,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     candidate for component_id. An empty table gives an empty one; other columns are ignored.
     """
     made = stage(sketches(docs, size, bands, rows), "sketches")
-    full = made.where("lo is not null")
-    classes = full.groupBy("lo", "hi").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    banded = full.select("lo", "hi", "bands").dropDuplicates(["lo", "hi"]).select("lo", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("lo").alias("hub"), F.max("lo").alias("other")).where("hub != other").select("band", "hub")
-    candidates = components(banded.join(shared, "band").where("lo != hub").select(F.col("lo").alias("a"), F.col("hub").alias("b")))
-
-    picked = stage(classes.join(candidates, classes.lo == candidates.node).select("lo", "hi", "first_id", "n_shingles", "root"), "picked")
+    grouped = made.where("lo is not null").groupBy("lo", "hi")
+    classes = grouped.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # A number of its own stands for each set, so that no two sets are one node.
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other").select("band", "hub")
+    candidates = components(banded.join(shared, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    classes = classes.drop("bands")
+
+    picked = stage(classes.join(candidates, "node").select("node", "lo", "hi", "first_id", "n_shingles", "root"), "picked")
     blocks = picked.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
     placed = (
         picked.join(blocks, "root").withColumn("block", block).withColumn("with", F.explode(others))
-        .select("root", "lo", "hi", F.col("first_id").alias("doc_id"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+        .select("root", "node", "lo", "hi", F.col("first_id").alias("doc_id"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     )
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(bounded(placed.withColumnRenamed("doc_id", "wanted")), F.expr("doc_id <=> wanted"))
-    tiled = texts.select("root", "i", "j", "lo", "hi", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "lo", "hi")
+    tiled = texts.select("root", "i", "j", "node", "lo", "hi", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     linked = components(verify(tiled, size, percent))
 
-    grouped = classes.join(linked, classes.lo == linked.node, "left").withColumn("label", F.coalesce("root", "lo"))
+    grouped = classes.join(linked, "node", "left").withColumn("label", F.coalesce("root", "node"))
     least = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
-    several = stage(grouped.join(least, "label").select("lo", "hi", "component_id", "label"), "classes")
+    several = grouped.join(least.select("label", "component_id"), "label", "left").select("lo", "hi", "component_id", "label")
     return (
         made.select("doc_id", "text_hash", "n_shingles", "lo", "hi").join(several, ["lo", "hi"], "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash", F.coalesce("label", "lo").alias("component"))
+        .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash", F.col("label").alias("component"))
     )
 
 

@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import in_slices, read
+from .common import mapped, read, stage
 from .shingles import GOLDEN, mix
-from .tokens import encoder
+from .tokens import encoded, packed
 
 #: Buckets of the hashed vectors, dimensions they are projected to, bits of each.
-VECTOR, DIMENSIONS, BITS = 1 << 12, 3, 20
-#: Bytes of a text that are hashed at once.
-_PIECE = 1 << 20
+VECTOR, DIMENSIONS, BITS = 1 << 16, 3, 20
+#: Bytes of ids in a range of the curve, the work of one task.
+RANGE_BYTES = 8 << 20
 
 
 def projection(buckets: int = VECTOR, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A fixed random matrix (dimensions, buckets) with entries in (-1, 1)."""
+    """A fixed random matrix (buckets, dimensions) with entries in (-1, 1)."""
     cells = np.arange(1, buckets * dimensions + 1, dtype=np.uint64) * GOLDEN
-    return ((mix(cells) >> np.uint64(11)).astype(np.float64) / (1 << 52) - 1).reshape(dimensions, buckets).astype(np.float32)
+    return ((mix(cells) >> np.uint64(11)).astype(np.float64) / (1 << 52) - 1).reshape(buckets, dimensions)
 
 
-def coordinates(text: str | None, matrix: np.ndarray) -> np.ndarray:
-    """The mean of the hashed vectors of a text's runs of four bytes (A-Z in lower case), projected.
+def coordinates(ids: np.ndarray, ends: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """(texts, dimensions): the hashed vector of each text's ids (of all texts in a row), of length 1, projected.
 
-    Runs that a document has often weigh as often. Shorter texts are filled up with zeros.
+    A bucket weighs 1 + log of the number of times that the text has it, so that neither length nor repetition alone
+    sets texts apart.
     """
-    spelled = np.frombuffer((text or "").encode().lower().ljust(4, b"\0"), np.uint8).astype(np.uint32)
-    total, shift = np.zeros(len(matrix)), np.uint32(32 - VECTOR.bit_length() + 1)
-    for at in range(0, len(spelled) - 3, _PIECE):
-        b = spelled[at : at + _PIECE + 3]
-        hashed = ((b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(0x9E3779B1)) >> shift
-        total += [row[hashed].sum(dtype=np.float64) for row in matrix]
-    return total / (len(spelled) - 3)
+    owner = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(ends, prepend=0))
+    code, n = np.unique(owner * np.uint64(VECTOR) | mix(ids.astype(np.uint64)) % np.uint64(VECTOR), return_counts=True)
+    owner, weight = (code // np.uint64(VECTOR)).astype(np.int64), 1 + np.log(n)
+    sums = lambda x: np.bincount(owner, x, len(ends))
+    at = matrix[(code % np.uint64(VECTOR)).astype(np.int64)]
+    norm = np.sqrt(np.maximum(sums(weight**2), 1e-300))
+    return np.stack([sums(weight * at[:, d]) / norm for d in range(matrix.shape[1])], axis=1)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -68,22 +73,33 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-_matrices: list[np.ndarray] = []
+def curve_key(points: list[str], centre: list[float], spread: list[float]) -> Column:
+    """The place on the curve of points given as columns, each coordinate scaled by its share of the texts below it, were they normal."""
 
+    @F.pandas_udf("long")
+    def key(*columns: pd.Series) -> pd.Series:
+        cells = [np.clip(1 / (1 + np.exp(-1.702 * (x.to_numpy() - m) / (s or 1.0))) * (1 << BITS), 0, (1 << BITS) - 1) for x, m, s in zip(columns, centre, spread)]
+        return pd.Series(hilbert(np.stack(cells, axis=1)))
 
-def curve_key(text: Column) -> Column:
-    """The place of each text on the curve, as a column."""
+    return key(*points)
 
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        if not _matrices:
-            _matrices.append(projection())
-        matrix = _matrices[0]
-        points = np.array([coordinates(t, matrix) for t in texts]).reshape(-1, DIMENSIONS)
-        cells = np.clip((points + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-        return pd.Series(hilbert(cells))
 
-    return key(text)
+def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, int]:
+    """(doc_id, width, ids, key) for each row of docs (doc_id, text): its packed ids, and its place on the curve; and the bytes of all ids."""
+    points = [f"x{d}" for d in range(DIMENSIONS)]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = projection()
+        for frame, ids, ends in encoded(batches, tokenizer, end_id):
+            at = coordinates(ids, ends, matrix)
+            width = pa.array(np.full(len(ends), ids.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([frame["doc_id"], width, packed(ids, ends), *map(pa.array, at.T)], ["doc_id", "width", "ids", *points])
+
+    source = docs.select(F.col("doc_id").cast("long"), "text")
+    tokens = stage(mapped(source, apply, "doc_id long, width int, ids binary, " + ", ".join(f"{x} double" for x in points)), "token-rows")
+    measured = tokens.agg(F.sum(F.octet_length("ids")), *[f(x) for f in (F.avg, F.stddev_pop) for x in points]).first()
+    centre, spread = ([float(v or 0.0) for v in measured[at : at + DIMENSIONS]] for at in (1, 1 + DIMENSIONS))
+    return tokens.select("doc_id", "width", "ids", curve_key(points, centre, spread).alias("key")), measured[0] or 0
 
 
 def powers(length: int) -> list[int]:
@@ -96,13 +112,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 2048, wi
 
     Documents are sorted by the Hilbert key of their hashed vector, then by doc_id (so that equal texts spread
     over partitions), and each partition's ids are cut every `limit` tokens. What is left at its end is cut
-    at powers of two, lengths that need no padding: at most log2(limit) short sequences a partition.
+    at powers of two, lengths that need no padding: at most log2(limit) short sequences a partition. The number of
+    partitions follows the bytes of all ids. A text is encoded once, where it is read; a text of any length is one row.
     A null or empty text is the end id alone. Rows may repeat; other columns are ignored. with_ids adds the ids.
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         rows, held, filled, sequence = [], [], 0, part << 32
 
         def close() -> None:
@@ -122,10 +139,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 2048, wi
             return ids[len(fits) :]
 
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id.astype("Int64").tolist(), batch.text.tolist()):
-                ids = rest = np.append(encode.ids(text), np.uint32(end_id)).astype("<u4")
+            for doc_id, width, packed_ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "width", "ids"))):
+                ids = rest = np.frombuffer(packed_ids, f"<u{width}").astype("<u4")
                 while len(rest):
-                    rest = add(None if doc_id is pd.NA else doc_id, len(ids) - len(rest), rest, len(ids), limit)
+                    rest = add(doc_id, len(ids) - len(rest), rest, len(ids), limit)
                     if filled == limit:
                         close()
             yield frame(rows)
@@ -141,15 +158,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 2048, wi
             close()
         yield frame(rows)
 
-    names = [f.split()[0] for f in fields.split(", ")]
+    schema = to_arrow_schema(StructType.fromDDL(fields))
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        found = pd.DataFrame(rows, columns=names)
-        return found.assign(doc_id=found.doc_id.astype("Int64"))
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    source = docs.select(F.col("doc_id").cast("long"), "text", curve_key(F.col("text")).alias("key"))
-    ordered = source.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
-    return in_slices(ordered.select("doc_id", "text"), place, fields)
+    keyed, size = on_curve(docs, tokenizer, end_id)
+    ordered = keyed.repartitionByRange(max(1, math.ceil(size / RANGE_BYTES)), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    return mapped(ordered.select("doc_id", "width", "ids"), place, fields)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

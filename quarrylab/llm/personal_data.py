@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, read
+from .common import in_slices, mapped, read
+from .words import frames
 
 
 class Span(NamedTuple):
@@ -22,11 +27,11 @@ class Span(NamedTuple):
 
 
 #: Kinds in the order of listing; the first four are always reported, the others from THRESHOLD on.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key", "secret")
 BASE = KINDS[:4]
 THRESHOLD = 0.5
 #: Score of a confirmed span before its context is looked at, and characters of context before and after it.
-PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "key": 0.9, "secret": 0.3}
 CONTEXT = 60
 #: Words that make a kind likelier (+0.2) or less likely (-0.2) when one stands nearby.
 LIKELIER = {
@@ -36,8 +41,10 @@ LIKELIER = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
+    "key": ("key", "token", "secret"),
+    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "api-key", "credential", "credentials", "auth", "bearer"),
 }
-LESS_LIKELY = {"ip": ("version", "release", "build"), "card": ("isbn", "serial", "order"), "phone": ("order", "serial"), "ssn": ("part", "order", "serial")}
+LESS_LIKELY = {"ip": ("version", "release", "build"), "card": ("isbn", "serial", "order"), "phone": ("order", "serial"), "ssn": ("part", "order", "serial"), "secret": ("commit", "checksum", "digest", "sha", "md", "etag", "revision")}
 #: IBAN lengths outside 15..34 don't exist.
 IBAN_LENGTH = range(15, 35)
 #: A country's own length, from the IBAN registry and the countries that use IBANs without an entry there.
@@ -62,6 +69,18 @@ _IBAN_REST = {n: re.compile(r"(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) f
 _IBAN_ANY = re.compile(r"(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z][a-z-]*")
+#: Beginnings, alphabets and lengths that issuers give their keys.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{82}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_])"
+)
+#: A run of 16 and more letters and digits; it is a secret if it is as mixed as a random one, and its context says so.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A value given to something that is called a secret.
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"']{6,128})")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----")
+#: Runs longer than this are encoded data, and of lesser entropy (bits a character) are words.
+SECRET_LENGTH, SECRET_BITS = 512, 2.5
 
 
 def luhn(digits: str) -> bool:
@@ -76,6 +95,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def entropy(text: str) -> float:
+    """Bits a character, by the text's own characters."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits and letters mixed, as random ones are, and values with a digit and a letter that are given to a secret's name."""
+    last = 0
+    mixed = lambda run, n: sum(c.isdigit() for c in run) >= n and sum(c.isalpha() for c in run) >= n
+    runs = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() <= SECRET_LENGTH and mixed(m[0], 2) and entropy(m[0]) >= SECRET_BITS]
+    values = [m.span(1) for m in _ASSIGNED.finditer(text) if mixed(m[1], 1)] if "=" in text or ":" in text else []
+    for start, end in sorted(runs + values):
+        if start >= last:
+            last = end
+            yield start, end
+
+
 def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
@@ -123,6 +159,13 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 yield "ssn", *m.span()
+    keys = [m.span() for m in _KEY.finditer(text)] + ([m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else [])
+    yield from (("key", a, b) for a, b in keys)
+    taken = sorted(keys)
+    for a, b in _secrets(text):
+        at = bisect(taken, (b,))
+        if not at or taken[at - 1][1] <= a:
+            yield "secret", a, b
 
 
 def find(text: str | None) -> list[Span]:
@@ -159,8 +202,8 @@ def listed(spans: list[Span]) -> str:
 
 
 def candidate(text: Column) -> Column:
-    """The text if it may hold a span, else null: a span has a digit or an @."""
-    return F.when(text.rlike("[0-9@]"), text)
+    """The text if it may hold a span, else null: a span has a digit or an @, but for a few keys that have a fixed beginning."""
+    return F.when(text.rlike("[0-9@]|PRIVATE KEY|AKIA|ASIA|AIza|eyJ|xox[abprs]-|sk-|k_live_|gh[pousr]_|github_pat_"), text)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -169,7 +212,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Row-local, without a shuffle: rows may repeat, texts may be null, empty or long (each pattern takes linear
     time), other columns are ignored. A text that can hold no span isn't sent to Python.
     """
-    names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "scores"]
+    names = [f"n_{k}" for k in KINDS] + ["n_spans", "base_sha256", "spans", "scores"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,21 +221,33 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 spans = find(text)
                 base = listed([s for s in spans if s.kind in BASE])
                 counts = [sum(s.kind == k for s in spans) for k in KINDS]
-                rows.append([*counts, hashlib.sha256(base.encode()).hexdigest(), listed(spans), ",".join(f"{s.score:g}" for s in spans)])
+                rows.append([*counts, len(spans), hashlib.sha256(base.encode()).hexdigest(), listed(spans), ",".join(f"{s.score:g}" for s in spans)])
             yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    fields = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string"
-    return in_slices(docs.select(F.col("doc_id").cast("long"), candidate(F.col("text")).alias("candidate")), scan, fields)
-
+    fields = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_spans long, base_sha256 string, spans string, scores string"
+    return in_slices(docs.select(F.col("doc_id").cast("long"), candidate(F.col("text")).alias("candidate")), scan, fields, by="candidate")
 
-def redacted(text: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; null stays null."""
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, find(t)) for t in texts], dtype=object)
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with each span of text replaced by its kind in brackets; null stays null. Row-local, as personal_data.
 
-    return F.coalesce(apply(candidate(text)), text)
+    n_chars, where docs has it, follows a changed text; all other columns stay as they are, whatever their names.
+    """
+    at = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames(batches, "text"):
+            texts = frame.column(at).to_pylist()
+            made = [redact(t, find(t)) for t in texts]
+            columns = frame.columns
+            columns[at] = pa.array(made, frame.schema.field(at).type)
+            if length is not None:
+                sizes = [n if new == old else len(new) for n, new, old in zip(columns[length].to_pylist(), made, texts)]
+                columns[length] = pa.array(sizes, frame.schema.field(length).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=frame.schema)
+
+    return mapped(docs, apply, docs.schema)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

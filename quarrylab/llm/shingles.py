@@ -5,27 +5,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-#: Words whose hash a worker remembers before it starts anew.
-MEMORY_WORDS = 100_000
+from .words import distinct, split
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -33,17 +21,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its word shingles; of all words as one, if there are fewer; empty without words."""
+    words = split(texts, lower=True)
+    known, codes = distinct(words.words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[codes]
+    owner, sizes = words.owners(), words.sizes
+    # A shingle starts at each word but the last few of its text; a short text's one shingle starts at its first.
+    left = words.ends[owner] - np.arange(len(owner))
+    length = np.minimum(sizes[owner], size)
+    start = np.flatnonzero(left >= length)
+    found = length[start].astype(np.uint64)
+    mixed = np.append(mix(hashes), np.zeros(size, np.uint64))
+    for k in range(size):
+        found = np.where(k < length[start], found * GOLDEN + mixed[start + k], found)
+    found, per_text = mix(found), np.bincount(owner[start], minlength=len(sizes))
+    ends = np.cumsum(per_text)
+    return [np.unique(found[end - n : end]) for n, end in zip(per_text, ends)]
+
+
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of all words as one, if there are fewer; empty without words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = np.array([_hashes[w] for w in words], np.uint64)
-    n = max(1, len(words) - size + 1)
-    found = np.full(n, min(len(words), size), np.uint64)
-    for k in range(min(size, len(words))):
-        found = found * GOLDEN + mix(known[k : k + n])
-    return np.unique(mix(found))
+    return shingle_sets(pa.array([text], pa.string()), size)[0]
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:

@@ -14,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import in_slices, read, shared_dir
-from .tokens import encoder
+from .common import in_slices, mapped, read, shared_dir, stage
+from .tokens import token_rows
 
 MAGIC = b"QDAC"
 RANK_STEP = 512
@@ -92,44 +95,44 @@ class Segment:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int = 8) -> None:
     """Write the segments of all documents, in ascending doc_id order, as rows of Parquet files under path.
 
-    A null or empty text is the end id alone. Rows with the same doc_id stand side by side, by text; null doc_ids
+    A null or empty text is the end id alone. Rows with the same doc_id stand side by side, by their ids' bytes; null doc_ids
     come first. Columns besides doc_id and text are ignored. `part` ascends with doc_id over the files, `seg`
-    within a part.
+    within a part. Texts are encoded where they are read, and their packed ids alone are shuffled. A text of any
+    length is one row and stays in one segment.
     """
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text, part = encoder(tokenizer), TaskContext.get().partitionId()
-        state = {"seg": 0, "ids": [], "docs": [], "starts": [], "n": 0}
+    fields = to_arrow_schema(StructType.fromDDL(SEGMENT_SCHEMA))
 
-        def close() -> pd.DataFrame:
-            payload = encode(np.concatenate(state["ids"]), bits)
-            row = pd.DataFrame({"part": [part], "seg": [state["seg"]], "doc_ids": [state["docs"]], "starts": [state["starts"]], "n_tokens": [state["n"]], "payload": [payload]})
-            state.update(seg=state["seg"] + 1, ids=[], docs=[], starts=[], n=0)
-            return row
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seg, held, documents, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def close() -> pa.RecordBatch:
+            starts = np.cumsum([0, *map(len, held)])
+            row = [part, seg, documents, starts[:-1].tolist(), int(starts[-1]), encode(np.concatenate(held), bits)]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields)], schema=fields)
 
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id.astype("Int64").tolist(), batch.text.tolist()):
-                ids = np.append(encode_text.ids(text), np.uint32(end_id)).astype("<u4")
-                state["docs"].append(None if doc_id is pd.NA else doc_id)
-                state["starts"].append(state["n"])
-                state["ids"].append(ids)
-                state["n"] += len(ids)
-                if state["n"] >= SEGMENT_TOKENS:
+            for doc_id, width, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "width", "ids"))):
+                documents.append(doc_id)
+                held.append(np.frombuffer(ids, f"<u{width}"))
+                size += len(held[-1])
+                if size >= SEGMENT_TOKENS:
                     yield close()
-        if state["docs"]:
+                    seg, held, documents, size = seg + 1, [], [], 0
+        if documents:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    in_slices(ordered, segments, SEGMENT_SCHEMA).write.parquet(path)
+    tokens = stage(token_rows(docs, tokenizer, end_id), "token-rows")
+    mapped(tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids"), segments, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, decoded from the files: doc_id, start, n_tokens, ids_crc32, first_id and last_id."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
+    def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
                 segment, starts = Segment(r.payload), np.append(r.starts, r.n_tokens).astype(int)
                 ids = [segment.slice(a, b) for a, b in zip(starts[:-1], starts[1:])]
                 yield pd.DataFrame({
@@ -138,7 +141,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     "first_id": [int(x[0]) for x in ids], "last_id": [int(x[-1]) for x in ids],
                 })
 
-    rows = segments.mapInPandas(documents, "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long, first_id long, last_id long")
+    rows = in_slices(segments, documents, "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long, first_id long, last_id long", by="payload")
     # Sizes of parts, then of segments within a part: no window sees more than the parts of one write.
     sizes = segments.select("part", "seg", "n_tokens")
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
