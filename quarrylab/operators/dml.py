@@ -42,11 +42,22 @@ def inherit_foreign(new: DataFrame, parent: DataFrame, column: str, parent_colum
 
 def last_of_each(rows: DataFrame, keys: Sequence[str], order_by: str | Sequence[str]) -> DataFrame:
     """The last row of each key by order_by; rows of a null key all stay, since null keys are never equal."""
-    last = Window.partitionBy(*keys).orderBy(*[c.desc() for c in map(F.expr, [order_by] if isinstance(order_by, str) else order_by)])
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(k).isNull()
-    return rows.withColumn("_n", F.row_number().over(last)).where((F.col("_n") == 1) | null).drop("_n")
+    return marked_last(rows, [keys], order_by, "_stays").where("_stays").drop("_stays")
+
+
+def marked_last(rows: DataFrame, key_sets: Sequence[Sequence[str]], order_by: str | Sequence[str], out: str) -> DataFrame:
+    """rows with a column that is true where a row is the last by order_by of its key, for each of some keys; a null key is equal to none."""
+    order = [F.expr(c) for c in ([order_by] if isinstance(order_by, str) else order_by)]
+    stays = F.lit(True)
+    for n, keys in enumerate(key_sets):
+        null = F.lit(False)
+        for k in keys:
+            null = null | F.col(k).isNull()
+        # Rows of a null key are dealt out by their order, so that they don't meet in one task.
+        last = Window.partitionBy(*keys, F.when(null, F.xxhash64(*order))).orderBy(*[c.desc() for c in order])
+        rows = rows.withColumn(f"_n{n}", F.row_number().over(last)).withColumn(f"_n{n}", (F.col(f"_n{n}") == 1) | null)
+        stays = stays & F.col(f"_n{n}")
+    return rows.withColumn(out, stays).drop(*[f"_n{n}" for n in range(len(key_sets))])
 
 
 def replace_rows(df: DataFrame, new: DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
@@ -68,18 +79,25 @@ def update_where(df: DataFrame, updates: dict, where: str) -> DataFrame:
     return df.select(*[F.when(hit, value(updates[c], c)).otherwise(F.col(f"`{c}`")).alias(c) if c in updates else F.col(f"`{c}`") for c in df.columns])
 
 
-def update_keyed(df: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: str | None = None) -> DataFrame:
-    """df with the columns of the update row of the same key, also if they are null there; the last of equal keys wins."""
-    if order_by:
-        updates = last_of_each(updates, keys, order_by)
+def update_keyed(df: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: str | None = None, given: Sequence[str] = ()) -> DataFrame:
+    """df with the columns of the update row of the same key, also if they are null there; the last of equal keys wins.
+
+    A column c among `given` counts only in the update rows for which the column _given_c is true, and wins by itself.
+    """
     values = [c for c in updates.columns if c in df.columns and c not in keys]
+    if given:
+        sets = lambda c: F.max_by(F.struct(c), F.when(F.col(f"_given_{c}") if c in given else F.lit(True), F.expr(order_by)))
+        updates = updates.groupBy(*keys).agg(*[sets(c).alias(c) for c in values])
+    elif order_by:
+        updates = last_of_each(updates, keys, order_by)
     other = updates.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_v_{c}") for c in values], F.lit(True).alias("_hit"))
     on = F.lit(True)
     for k in keys:
         on = on & (df[k] == other[f"_k_{k}"])
     kinds = {f.name: f.dataType for f in df.schema}
     joined = df.join(other, on, "left")
-    return joined.select(*[F.when(F.col("_hit"), F.col(f"_v_{c}").cast(kinds[c])).otherwise(df[c]).alias(c) if c in values else df[c] for c in df.columns])
+    value = lambda c: F.when(F.col(f"_v_{c}").isNotNull(), F.col(f"_v_{c}")[c].cast(kinds[c])) if given else F.when(F.col("_hit"), F.col(f"_v_{c}").cast(kinds[c]))
+    return joined.select(*[value(c).otherwise(df[c]).alias(c) if c in values else df[c] for c in df.columns])
 
 
 def delete_where(df: DataFrame, where: str, limit: int | None = None, order_by: str | None = None) -> DataFrame:

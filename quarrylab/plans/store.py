@@ -8,8 +8,10 @@ manifest lies on a file system of the driver, the snapshots wherever Spark can w
 from __future__ import annotations
 
 import copy
+import fcntl
 import json
 import os
+import re
 import shutil
 import threading
 import time
@@ -20,7 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +31,13 @@ from ..operators import columns as column_ops
 from ..operators import constraints, dedup, dml, rows
 from ..session import shared_dir
 from ..sources.delimited import read_csv, write_csv, write_single_csv
-from ..types import COMPANIONS, IntegrityError, declared_type, pandas_declaration, parse, spark_type
+from ..types import COMPANIONS, ConflictError, IntegrityError, declared_type, pandas_declaration, parse, spark_type
 from .versions import Versions
 
 ROWID = "__rowid"
+#: Statements of a script: semicolons within literals, quoted names and comments end none.
+_STATEMENTS = re.compile(r"""(?:'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[^;])+""", re.S)
+_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
 OBJECTS = {"key": "TEXT PRIMARY KEY", "timestamp": "REAL", "pid": "INTEGER", "hostname": "TEXT", "data": "BLOB", "compressed": "INTEGER", "data_type": "TEXT", "metadata": "TEXT"}
 
 
@@ -49,7 +54,7 @@ class Store(Versions):
             raise ValueError("mode must be ro, rw or rwc")
         self.spark, self.root, self.mode = spark, Path(root), mode
         self.compress_by_default, self.timeout = compress_by_default, timeout
-        self._lock, self._depth, self._staged = threading.RLock(), 0, []
+        self._lock, self._saved, self._staged, self._using = threading.RLock(), [], [], None
         self.enforce_foreign_keys = True
         if not self._manifest_path.exists():
             if mode != "rwc":
@@ -69,10 +74,24 @@ class Store(Versions):
         self._manifest = json.loads(self._manifest_path.read_text())
 
     def _save(self) -> None:
-        self._manifest["version"] += 1
-        new = self.root / f".manifest-{uuid.uuid4().hex}"
-        new.write_text(json.dumps(self._manifest))
-        os.replace(new, self._manifest_path)
+        """Put the manifest in the current one's place, if that is still the one that it came from."""
+        with self._held(".commit"):
+            if self._manifest_path.exists() and json.loads(self._manifest_path.read_text())["version"] != self._manifest["version"]:
+                raise ConflictError("the store was changed meanwhile")
+            self._manifest["version"] += 1
+            new = self.root / f".manifest-{uuid.uuid4().hex}"
+            new.write_text(json.dumps(self._manifest))
+            os.replace(new, self._manifest_path)
+
+    def _held(self, name: str, kind: int = fcntl.LOCK_EX):
+        """An open file of the store with a lock on it, which other handles and processes see; closing it ends the lock."""
+        file = (self.root / name).open("a")
+        fcntl.flock(file, kind)
+        return file
+
+    @property
+    def _depth(self) -> int:
+        return len(self._saved)
 
     def __enter__(self) -> Store:
         return self
@@ -105,29 +124,44 @@ class Store(Versions):
     def begin(self) -> None:
         if not self._lock.acquire(timeout=self.timeout):
             raise TimeoutError("the store is locked")
-        if self._depth == 0:
-            self._load()
-            self._before = copy.deepcopy(self._manifest)
-        self._depth += 1
+        try:
+            if self._depth == 0:
+                self._using = self._held(".use", fcntl.LOCK_SH) if self.mode != "ro" else None
+                self._load()
+            self._saved.append((copy.deepcopy(self._manifest), len(self._staged)))
+        except BaseException:
+            self._lock.release()
+            raise
 
     def commit(self) -> None:
+        """End this level; the outermost one's changes take effect, or are dropped with a ConflictError if another handle's came first."""
         if not self._depth:
             return
-        self._depth -= 1
-        if self._depth == 0:
-            self._save()
+        if self._depth == 1:
+            try:
+                if self._manifest != self._saved[0][0]:
+                    self._save()
+            except BaseException:
+                self.rollback()
+                raise
             self._staged = []
-        self._lock.release()
+        self._end()
 
     def rollback(self) -> None:
+        """Go back to where this level began; what the levels around it did before stays."""
         if not self._depth:
             return
-        self._manifest = copy.deepcopy(self._before)
-        self._depth -= 1
-        if self._depth == 0:
-            for path in self._staged:
-                shutil.rmtree(path, ignore_errors=True)
-            self._staged = []
+        self._manifest, kept = self._saved[-1]
+        for path in self._staged[kept:]:
+            shutil.rmtree(path, ignore_errors=True)
+        del self._staged[kept:]
+        self._end()
+
+    def _end(self) -> None:
+        self._saved.pop()
+        if not self._saved and self._using:
+            self._using.close()
+            self._using = None
         self._lock.release()
 
     @contextmanager
@@ -147,8 +181,8 @@ class Store(Versions):
     def writable(self, state: bool) -> None:
         if self.mode == "ro":
             raise ValueError("the store is open for reading")
-        self._manifest["writable"] = bool(state)
-        self._save()
+        with self.transaction():
+            self._manifest["writable"] = bool(state)
 
     @contextmanager
     def _change(self):
@@ -188,22 +222,34 @@ class Store(Versions):
         return path
 
     def _append(self, table: str, new: DataFrame) -> None:
-        """Add rows that conform to the table, numbered in their order; old files stay as they are."""
+        """Add rows that conform to the table, numbered without gaps in their order; old files stay as they are."""
         meta = self._meta(table)
         schema = T.StructType.fromJson(meta["schema"])
-        first = meta["next_rowid"]
-        numbered = new.select("*", (F.monotonically_increasing_id() + first).alias(ROWID))
-        key = meta["primary_key"]
-        if len(key) == 1 and meta["types"][key[0]] in ("INTEGER", "INT"):
-            # A key that isn't given is the row's number.
-            numbered = numbered.withColumn(key[0], F.coalesce(F.col(key[0]), F.col(ROWID)))
-        path = self._write(table, numbered.select(*schema.names))
+        first, key = meta["next_rowid"], meta["primary_key"]
+        own = key[0] if len(key) == 1 and meta["types"][key[0]] in ("INTEGER", "INT") else None
+
+        def placed(rows: DataFrame) -> DataFrame:
+            """A key that isn't given is the row's number; _given, which only this method reads, says where it was."""
+            given = F.col(own).isNotNull() if own else F.lit(True)
+            filled = [F.coalesce(F.col(own), F.col(ROWID)).alias(own) if c == own else F.col(f"`{c}`") for c in schema.names]
+            return rows.select(*filled, given.alias("_given"))
+
+        path = self._write(table, placed(new.withColumn(ROWID, F.monotonically_increasing_id() + first)))
         added = self.spark.read.schema(schema).parquet(path)
+        last, n = added.agg(F.max(ROWID), F.count(F.lit(1))).first()
+        if n and last - first + 1 != n:  # written by several tasks, each with numbers of its own: close the gaps between them
+            raw = self.spark.read.schema(T.StructType([*schema, T.StructField("_given", T.BooleanType())])).parquet(path)
+            task = F.shiftright(F.col(ROWID) - first, 33).alias("_task")
+            before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+            starts = raw.groupBy(task).count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row a task
+            raw = raw.withColumn(own, F.when(F.col("_given"), F.col(own))) if own else raw
+            dense = raw.drop("_given").withColumn("_task", task).join(starts, "_task").withColumn(ROWID, F.col("_before") + (F.col(ROWID) - first).bitwiseAND((1 << 33) - 1) + first)
+            path = self._write(table, placed(dense))
+            added = self.spark.read.schema(schema).parquet(path)
         self._check(table, added, self._stored(table))
-        last = added.agg(F.max(ROWID)).first()[0]
-        if last is not None:
+        if n:
             meta["files"].append(path)
-            meta["next_rowid"] = last + 1
+            meta["next_rowid"] = first + n
 
     def _replace(self, table: str, df: DataFrame, check: bool = True) -> None:
         """Put a new state in the table's place; df has row numbers."""
@@ -253,6 +299,10 @@ class Store(Versions):
     def drop_table(self, table: str, if_exists: bool = True) -> None:
         with self._change():
             if table in self._manifest["tables"]:
+                for child, fk in self._links_to(table):
+                    if child != table and self.enforce_foreign_keys and not self.read(child).where(F.col(fk["column"]).isNotNull()).isEmpty():
+                        raise IntegrityError(f"{child}: {fk['column']} refers to {table}")
+                    self._meta(child)["foreign_keys"].remove(fk)
                 del self._manifest["tables"][table]
             elif not if_exists:
                 raise ValueError(f"no such table: {table}")
@@ -262,8 +312,14 @@ class Store(Versions):
             if new in self._manifest["tables"]:
                 raise ValueError(f"table {new} is there already")
             self._meta(old)
+            for _, fk in self._links_to(old):
+                fk["table"] = new
             self._manifest["tables"][new] = self._manifest["tables"].pop(old)
 
+    def _links_to(self, table: str) -> list[tuple[str, dict]]:
+        """The foreign keys that refer to a table, each with the table that it is of."""
+        return [(name, fk) for name, meta in self._manifest["tables"].items() for fk in meta["foreign_keys"] if fk["table"] == table]
+
     def get_table_names(self) -> list[str]:
         return sorted(self._manifest["tables"])
 
@@ -390,7 +446,7 @@ class Store(Versions):
 
     def execute(self, query: str, parameters: Sequence | dict = ()) -> DataFrame:
         """Any query Spark SQL has over the store's tables by name, with `?` or `:name` parameters; lazy."""
-        if query.split(None, 1)[0].upper() not in ("SELECT", "WITH", "VALUES", "FROM", "TABLE", "EXPLAIN", "DESCRIBE", "SHOW", "("):
+        if (_COMMENT.sub(" ", query).split(None, 1) or [""])[0].upper() not in ("SELECT", "WITH", "VALUES", "FROM", "TABLE", "EXPLAIN", "DESCRIBE", "SHOW", "("):
             raise ValueError("tables are changed by the store's methods, not by SQL text")
         for name in self.get_table_names():
             self.read(name).createOrReplaceTempView(name)
@@ -401,7 +457,7 @@ class Store(Versions):
         return [r.asDict() for r in self.execute(query, parameters).collect()]
 
     def executescript(self, script: str) -> list[DataFrame]:
-        return [self.execute(part) for part in script.split(";") if part.strip()]
+        return [self.execute(part) for part in _STATEMENTS.findall(script) if _COMMENT.sub("", part).strip()]
 
     def get_rows(self, table: str, columns=None, ids="all", where=None, order_by=None, limit=None, offset=None, return_as: str = "spark", include_blobs: bool = True):
         """Rows as a lazy DataFrame, or as "dataframe" (pandas), "list" (tuples) or "dict" (a list of dicts)."""
@@ -459,19 +515,25 @@ class Store(Versions):
         self.insert_many(table, [data])
 
     def replace_many(self, table: str, rows: Iterable[dict] | DataFrame) -> None:
-        """Insert rows, in the place of those with the same primary key; of new rows of one key the last stays."""
+        """Insert rows, in the place of those with the same primary key or unique values; of such new rows the last stays."""
         with self._change():
-            keys = self._meta(table)["primary_key"]
+            meta = self._meta(table)
+            sets = [keys for keys in (meta["primary_key"], *meta["unique"].values()) if keys]
             new = self._rows(table, rows).withColumn("_at", F.monotonically_increasing_id())
-            if keys:
-                path = self._write(table, dml.last_of_each(new, keys, "_at"))
-                new = self.spark.read.schema(new.schema).parquet(path)
-                self._replace(table, self._stored(table).join(new.select(*keys), list(keys), "left_anti").select(*self._stored(table).columns), check=False)
+            if sets:
+                path = self._write(table, dml.marked_last(new, sets, "_at", "_stays"))
+                written = self.spark.read.schema(T.StructType([*new.schema, T.StructField("_stays", T.BooleanType())])).parquet(path)
+                left = self._stored(table)
+                for keys in sets:
+                    left = left.join(written.select(*keys), list(keys), "left_anti").select(*left.columns)
+                self._replace(table, left, check=False)
+                new = written.where("_stays").drop("_stays")
             self._append(table, new.orderBy("_at").drop("_at"))
 
     def update_many(self, table: str, rows: Iterable[dict] | DataFrame, key: str | Sequence[str] | None = None) -> None:
         """Set, in the rows of each dict's key (the primary key, if none is named), the other columns that it names.
 
+        A column that a dict doesn't name stays as it is; of several dicts of one key the last that names a column counts.
         Dicts without that key change every row, so that the last of them stays.
         """
         with self._change():
@@ -488,7 +550,11 @@ class Store(Versions):
                 self._replace(table, dml.update_where(stored, rows[-1], "true"))
                 return
             new = self._rows(table, rows).select(*(names or rows.columns)).withColumn("_at", F.monotonically_increasing_id())
-            self._replace(table, dml.update_keyed(stored, new, keys, "_at"))
+            given = [c for c in names or () if c not in keys and any(c not in r for r in rows)]
+            if given:  # numbered as their rows, which come in one part
+                marks = self.spark.createDataFrame([(i, *[c in r for c in given]) for i, r in enumerate(rows)], ", ".join(["_at long", *[f"`_given_{c}` boolean" for c in given]]))
+                new = new.join(marks, "_at")
+            self._replace(table, dml.update_keyed(stored, new, keys, "_at", given))
 
     def update_where(self, table: str, updates: dict, where: str) -> int:
         with self._change():
@@ -597,7 +663,7 @@ class Store(Versions):
         self.replace_many(table, [{"key": key} | row])
 
     def load_blob(self, table: str, key: str | None = None, where: str | None = None, pickled: bool = False):
-        found = {r["key"]: objects.decode(r.asDict(), pickled) for r in rows.get_rows(self.read(table), where=f"key = '{key}'" if key else where).collect()}
+        found = {r["key"]: objects.decode(r.asDict(), pickled) for r in rows.get_rows(self.read(table) if key is None else self.read(table).where(F.col("key") == key), where=None if key is not None else where).collect()}
         if key is None:
             return found
         if key not in found:
@@ -648,11 +714,15 @@ class Store(Versions):
                 if meta["files"]:
                     order = next(iter(meta["indexes"].values()), [ROWID])
                     self._replace(name, self._stored(name).repartitionByRange(*order).sortWithinPartitions(*order), check=False)
-        self.vacuum()
+        if not self._depth:
+            self.vacuum()
 
     def vacuum(self) -> int:
-        """Delete snapshots that neither the manifest nor a commit names; their number."""
-        with self.maintenance_lock():
+        """Delete snapshots that neither the manifest nor a commit names; their number. It waits for open transactions to end."""
+        if self._depth:
+            raise ValueError("vacuum within a transaction")
+        with self.maintenance_lock(), self._held(".use"):
+            self._load()
             used = {f for m in self._manifest["tables"].values() for f in m["files"]} | self._files_of_commits()
             stale = [p for p in (self.root / "tables").glob("*/*") if str(p) not in used]
             for p in stale:

@@ -13,6 +13,10 @@ class IntegrityError(ValueError):
     """A row that a constraint forbids."""
 
 
+class ConflictError(Exception):
+    """Another handle has changed the store since this one's transaction began."""
+
+
 class Declared(NamedTuple):
     """A column as declared: its type's name, and the constraints written after it."""
 

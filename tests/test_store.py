@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylab.plans.store import Store
-from quarrylab.types import IntegrityError, pandas_declaration
+from quarrylab.types import ConflictError, IntegrityError, pandas_declaration
 
 
 @pytest.fixture
@@ -242,3 +243,88 @@ def test_upkeep(items, spark, tmp_path):
     items.rename_table("few", "some")
     items.drop_table("some")
     assert items.get_table_names() == ["items"]
+
+
+def test_inner_rollback_keeps_the_outer_changes(items):
+    items.create_index("items", "name", unique=True)
+    with items.transaction():
+        items.insert("items", {"name": "outer"})
+        with pytest.raises(IntegrityError):
+            items.insert("items", {"name": "item_3"})
+        items.insert("items", {"name": "after"})
+    items.reconnect()
+    assert items.get_row_count("items", "name in ('outer', 'after')") == 2 and items.get_row_count("items") == 22
+
+
+def test_conflicting_commits(spark, items):
+    other = Store(spark, items.root)
+    items.begin(), other.begin()
+    items.insert("items", {"name": "one"})
+    other.insert("items", {"name": "two"})
+    items.commit()
+    with pytest.raises(ConflictError):
+        other.commit()
+    assert other._depth == 0 and other.get_row_count("items", "name = 'one'") == 0
+    other.insert("items", {"name": "two"})  # each change begins with what is there
+    items.reconnect()
+    assert items.get_row_count("items", "name in ('one', 'two')") == 2
+
+
+def test_vacuum_leaves_open_transactions(spark, items):
+    items.delete_where("items", "id < 3")
+    with items.transaction():
+        with pytest.raises(ValueError):
+            items.vacuum()
+    assert items.vacuum() == 1 and items.get_row_count("items") > 0
+
+
+def test_update_many_leaves_columns_that_a_dict_does_not_name(store):
+    store.create_table("t", {"id": "INTEGER PRIMARY KEY", "a": "TEXT", "b": "TEXT"})
+    store.insert_many("t", [{"id": 1, "a": "x", "b": "y"}, {"id": 2, "a": "x", "b": "y"}, {"id": 3, "a": "x", "b": "y"}])
+    store.update_many("t", [{"id": 1, "a": "A"}, {"id": 2, "b": "B"}, {"id": 3, "a": "A", "b": "B"}, {"id": 3, "a": None}])
+    assert store.get_rows("t", order_by="id", return_as="list") == [(1, "A", "y"), (2, "x", "B"), (3, None, "B")]
+
+
+def test_replace_many_by_unique_values(store):
+    store.create_table("t", {"id": "INTEGER PRIMARY KEY", "name": "TEXT UNIQUE", "n": "INTEGER"})
+    store.insert_many("t", [{"id": 1, "name": "a", "n": 1}, {"id": 2, "name": "b", "n": 2}, {"id": 3, "name": None, "n": 3}])
+    # As rows put in one after the other: (7, c) takes c's place from (6, c), and (7, d) that of (7, c).
+    store.replace_many("t", [{"id": 5, "name": "a", "n": 5}, {"id": 6, "name": "c", "n": 6}, {"id": 7, "name": "c", "n": 7}, {"id": 7, "name": "d", "n": 8}, {"id": 9, "name": None, "n": 9}])
+    assert store.get_rows("t", order_by="id", return_as="list") == [(2, "b", 2), (3, None, 3), (5, "a", 5), (7, "d", 8), (9, None, 9)]
+
+
+def test_keys_of_objects_are_no_sql(store):
+    store.save_blob("objects", {"a": 1}, "O'Brien")
+    store.save_blob("objects", {"a": 2}, "x' OR '1'='1")
+    assert store.load_blob("objects", "O'Brien") == {"a": 1}
+    with pytest.raises(KeyError):
+        store.load_blob("objects", "y' OR '1'='1")
+
+
+def test_parents_renamed_and_dropped(store):
+    store.create_table("p", {"id": "INTEGER PRIMARY KEY"})
+    store.create_table("c", {"id": "INTEGER PRIMARY KEY", "p_id": "INTEGER"}, [{"tgt_column": "p_id", "src_table": "p", "src_column": "id"}])
+    store.insert("p", {"id": 1})
+    store.rename_table("p", "q")
+    store.insert("c", {"p_id": 1})
+    with pytest.raises(IntegrityError):
+        store.insert("c", {"p_id": 2})
+    with pytest.raises(IntegrityError):
+        store.drop_table("q")
+    store.delete_where("c", "p_id = 1")
+    store.drop_table("q")
+    store.insert("c", {"p_id": 2})
+
+
+def test_numbers_of_rows_from_several_tasks(spark, store):
+    store.create_table("t", {"id": "INTEGER PRIMARY KEY", "n": "INTEGER"})
+    many = spark.range(0, 900, numPartitions=7).select(F.when(F.col("id") == 5, 5000).alias("id"), F.col("id").alias("n"))
+    store.insert_many("t", many)
+    store.insert("t", {"n": 900})
+    got = store.get_rows("t", order_by="n", return_as="list")
+    assert got == [(5000 if n == 5 else n + 1, n) for n in range(901)]
+
+
+def test_scripts_end_statements_outside_literals(store):
+    found = store.executescript("SELECT 'a;b' AS x; -- a comment; with one\nSELECT 2 AS x /* ; */;\n;  -- nothing\n")
+    assert [r.first()["x"] for r in found] == ["a;b", 2]
