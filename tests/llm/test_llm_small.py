@@ -460,3 +460,167 @@ def test_nearest(spark):
     few = nearest.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_base_spans_against_plain_patterns(spark):
+    import re
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, text):
+        digits = [int(c) for c in text if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in text.split("."))
+        if kind == "card":
+            doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    def expected(text):
+        found = [(m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, text or "") if holds(kind, m[0])]
+        return Counter(f[2] for f in found), hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)).encode()).hexdigest()
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("0123456789012345678..@+- (aéb"), 60)) for _ in range(1500)] + ["4111 1111-1111 1111 x@y.z 10.0.0.1 +44 20 7946 0958"]
+    rows = list(enumerate(texts)) + [(r.doc_id + 10_000, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: r for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = Counter()
+    for k, text in rows:
+        counts, digest = expected(text)
+        assert [got[k][f"n_{kind}"] for kind in patterns] == [counts[kind] for kind in patterns] and got[k].base_sha256 == digest
+        kinds += counts
+    assert min(kinds[k] for k in patterns) > 5
+
+
+def test_order_along_the_curve(spark):
+    """Places on the curve against plain Python, and that pieces lie along it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    matrix, points = packing.projection(), {}
+    for k, t in texts.items():
+        n = Counter(int(shingles.mix(np.array([i], np.uint64))[0]) % packing.VECTOR for i in expected_ids(t).tolist())
+        weights = {b: 1 + math.log(c) for b, c in n.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        points[k] = [sum(w * matrix[b, d] for b, w in weights.items()) / norm for d in range(packing.DIMENSIONS)]
+    ids, x = list(points), np.array(list(points.values()))
+    cells = (1 / (1 + np.exp(-1.702 * (x - x.mean(axis=0)) / x.std(axis=0))) * 2**packing.BITS).astype(np.int64)
+    want = dict(zip(ids, packing.hilbert(cells).tolist()))
+    keyed, _ = packing.on_curve(docs, TOKENIZER, 1)
+    got = {r.doc_id: r.key for r in keyed.select("doc_id", "key").collect()}
+    order = lambda keys: sorted(keys, key=lambda k: (keys[k], k))
+    assert got.keys() == want.keys() and sum(abs(got[k] - want[k]) <= 1 << 12 for k in got) > 0.98 * len(got)
+    pieces = packing.pack(docs, TOKENIZER).orderBy("sequence_id", "offset").collect()
+    assert list(dict.fromkeys(r.doc_id for r in pieces)) == order(got)
+
+
+def test_importance_weights(spark):
+    """Every log weight against plain Python: shares of buckets by class, the two conditions, and the mixture."""
+    rng = np.random.default_rng(10)
+    rows, marks = [], {}
+    for k in range(240):
+        words = [f"w{i}" for i in rng.integers(0, 4000, 40)] + (["Vile", "!!"] * 2 if k % 4 == 0 else ["junk&", "&&"] if k % 4 == 1 else ["fine", "words"])
+        rows.append((k, " ".join(words)))
+        if k % 5:
+            marks[k] = (int(k % 4 != 1), int(k % 4 == 0))
+    hash64 = lambda text, seed=0: xxhash.xxh3_64_intdigest(text, seed=seed)
+    bucket = lambda x: int(shingles.mix(np.array([x % 2**64], np.uint64))[0]) >> (64 - importance.BITS)
+
+    def seen(text):
+        import re
+
+        tokens, found = re.findall(r"\w+|[^\w\s]+", text), set()
+        values = [hash64(t.lower()) & ~3 for t in tokens]
+        shapes = [0 if not t[0].isalnum() else 1 if len(t) > 1 and t.isupper() else 2 for t in tokens]
+        shapes = [3 if i and values[i] == values[i - 1] else s for i, s in enumerate(shapes)]
+        found |= {bucket(v) for v in values} | {bucket(a * int(shingles.GOLDEN) + b) for a, b in zip(values, values[1:])}
+        found |= {bucket(64 * a + 16 * b + 4 * c + d + 1) for a, b, c, d in zip(shapes, shapes[1:], shapes[2:], shapes[3:])}
+        begun = Counter(hash64(t.lower()[:5], 1) for t in tokens)
+        return found | {bucket(h + n) for h, c in begun.items() for n in (1, 2, 3) if c >= n}
+
+    sets = {k: seen(t) for k, t in rows}
+    classes = {"target": [k for k, (q, t) in marks.items() if q and not t], "low_quality": [k for k, (q, _) in marks.items() if not q], "toxic": [k for k, (q, t) in marks.items() if t and q]}
+    counts = {c: Counter(b for k in ks for b in sets[k]) for c, ks in classes.items()}
+    total = sum(map(len, classes.values()))
+
+    def log_weight(found):
+        parts = [math.log(len(classes["target"]) / total)]
+        for pool in ("low_quality", "toxic"):
+            n, m, ratios = len(classes["target"]), len(classes[pool]), 0.0
+            for b in found:
+                a, o = counts["target"][b], counts[pool][b]
+                if a + o == 0:
+                    continue
+                gap = 2 * sum(x * math.log(x / ((a + o) * y / (n + m))) for x, y in ((a, n), (o, m)) if x)
+                ratio = math.log((a + 0.5) / (n + 1) / ((o + 0.5) / (m + 1)))
+                ratios += ratio if gap >= importance.SIGNIFICANT and abs(ratio) >= importance.EFFECT else 0.0
+            parts.append(math.log(m / total) - ratios)
+        return -math.log(sum(math.exp(p) for p in parts))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = importance.fit(docs, spark.createDataFrame([(k, *m) for k, m in marks.items()], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.log_weight for r in importance.score(docs, model).collect()}
+    assert all(math.isclose(got[k], log_weight(sets[k]), abs_tol=1e-6) for k in got) and len({round(w, 3) for w in got.values()}) > 2
+
+
+def test_suffix_tree_scores(spark):
+    """Every score against plain Python: states by their test, smoothing, longest suffixes, classes and spelling."""
+    rng = np.random.default_rng(11)
+    words = ["aa", "bb", "cc,", "dab.", "eab", "fab!"] + [f"{a}{b}x{c}" for a in "kl" for b in "mn" for c in "pqr"]
+    rows = []
+    for k in range(400):
+        text = [str(rng.choice(words))]
+        for _ in range(24):
+            text.append("bb" if text[-1] == "aa" and rng.random() < 0.9 else str(rng.choice(words)))
+        rows.append((k, " ".join(text) + (" unseen-word" if k % 9 == 0 else "")))
+    trains = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
+    docs = common.stage(spark.createDataFrame(rows, "doc_id long, text string"), "texts")
+    n = Counter(w.encode() for k, t in rows if trains(k) for w in t.split())
+    kept, suffix_tree.CLASS_WORDS = suffix_tree.CLASS_WORDS, 3
+    try:
+        training = docs.where((F.crc32(F.col("doc_id").cast("string")) % 7) != 2)
+        classes = suffix_tree.choose_classes(suffix_tree.count_words(training))
+        got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs).collect()}
+    finally:
+        suffix_tree.CLASS_WORDS = kept
+
+    def tree(sequences, size, depth):
+        seen = defaultdict(Counter)
+        for s in sequences:
+            past = (0,) * depth + tuple(s)
+            for i in range(depth, len(past)):
+                for d in range(depth + 1):
+                    seen[past[i - d : i]][past[i]] += 1
+        total = sum(seen[()].values()) + size
+        states = {(): np.array([(1 + seen[()][x]) / total for x in range(size)])}
+        longest = lambda c: next(states[c[i:]] for i in range(len(c) + 1) if c[i:] in states)
+        for d in range(1, depth + 1):
+            for c in sorted(x for x in seen if len(x) == d):
+                count, below = seen[c], seen[c[1:]]
+                gap = 2 * sum(v * math.log(v / sum(count.values()) / (below[x] / sum(below.values()))) for x, v in count.items())
+                if sum(count.values()) >= 20 and gap >= size - 1 + 4 * math.sqrt(2 * (size - 1)):
+                    states[c] = (np.array([count[x] for x in range(size)]) + 4.0 * longest(c[1:])) / (sum(count.values()) + 4.0)
+        return lambda s: sum(math.log10(longest(((0,) * depth + tuple(s[:i]))[-depth:])[x]) for i, x in enumerate(s))
+
+    kind = lambda w: classes.of(w)
+    texts = lambda t: [w.encode() for w in t.split()]
+    by_class = tree([[*map(kind, texts(t)), 0] for k, t in rows if trains(k)], 256, 2)
+    letters = lambda w: [int(suffix_tree._LETTER[b]) for b in w] + [0]
+    by_letter = tree([letters(w) for w in n], 32, 5)
+    seen = Counter(b for w in n for b in w)
+    space = {9, 10, 11, 12, 13, 32}
+    same = lambda b: sum(1 + seen[x] for x in range(256) if x not in space and suffix_tree._LETTER[x] == suffix_tree._LETTER[b])
+    tokens, distinct = Counter(), Counter()
+    for w, c in n.items():
+        tokens[kind(w)] += c
+        distinct[kind(w)] += 1
+
+    def share(w):
+        k = kind(w)
+        if k <= 3:
+            return 0.0
+        spelt = by_letter(letters(w)) + sum(math.log10((1 + seen[b]) / same(b)) for b in w)
+        free = 0.75 * distinct[k] / tokens[k] if tokens[k] else 1.0
+        return math.log10((max(n[w] - 0.75, 0) / tokens[k] if n[w] else 0) + free * 10**spelt)
+
+    for k, t in rows:
+        assert math.isclose(got[k], by_class([*map(kind, texts(t)), 0]) + sum(map(share, texts(t))), rel_tol=1e-9)
