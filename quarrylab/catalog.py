@@ -377,6 +377,12 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
     ORACLE_SQL[name] = (oracle or text).replace("{", "").replace("}", "")
 
 
+@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)
+THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def update_where_limit(t):
+    return dml.update_where(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), {"o_orderstatus": "X"}, "o_totalprice > 100000", 50, "o_totalprice DESC, o_orderkey")
+
+
 sql("sql_join_inner", "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
 sql("sql_join_left", "SELECT c_custkey, count(o_orderkey) AS orders FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY c_custkey")
 sql("sql_join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey <= 50) FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey > 25) ON c_custkey = s_suppkey")

@@ -109,3 +109,27 @@ def element_means(df: DataFrame, values: str, by: str) -> DataFrame:
 def stacked(rows: Iterator, column: str) -> np.ndarray | None:
     """The stacked array of rows that hold a cell and its companions."""
     return stack([decode(r[column], r[f"{column}_dtype"], r[f"{column}_shape"], r[f"{column}_is_compressed"]) for r in rows])
+
+
+def decode_frame(df: pd.DataFrame, columns: list[str] | None = None, dtype=None, shape=None) -> pd.DataFrame:
+    """A frame of rows with its array cells as arrays, of their own dtype and shape or, where no companions name them, of those given."""
+    found = df.copy()
+    for c in [c for c in df.columns if f"{c}_dtype" in df.columns] if columns is None else columns:
+        if f"{c}_dtype" in df.columns and f"{c}_shape" in df.columns:
+            kinds = zip(df[f"{c}_dtype"], df[f"{c}_shape"], df.get(f"{c}_is_compressed", [False] * len(df)))
+        elif dtype is not None and shape is not None:
+            kinds = [(np.dtype(dtype), str(tuple(shape)), False)] * len(df)
+        else:
+            raise ValueError(f"{c} has no dtype and shape beside it; name them")
+        values = np.empty(len(df), object)
+        for n, (cell, kind) in enumerate(zip(df[c], kinds)):
+            values[n] = decode(cell, *kind) if isinstance(cell, (bytes, bytearray)) else None
+        found[c] = pd.Series(values, df.index)
+    return found
+
+
+def array_dict(df: pd.DataFrame, columns: list[str] | None = None, dtype=None, shape=None) -> dict[str, np.ndarray | None]:
+    """The stacked arrays of a frame's array columns."""
+    columns = [c for c in df.columns if f"{c}_dtype" in df.columns] if columns is None else list(columns)
+    decoded = decode_frame(df, columns, dtype, shape)
+    return {c: stack(list(decoded[c])) for c in columns}

@@ -67,16 +67,20 @@ def replace_rows(df: DataFrame, new: DataFrame, keys: Sequence[str], order_by: s
     return df.join(new.select(*keys), list(keys), "left_anti").select(*df.columns).unionByName(conform(new.select(*[c for c in new.columns if c in df.columns]), df))
 
 
-def update_where(df: DataFrame, updates: dict, where: str) -> DataFrame:
-    """df with the columns of updates set, to a literal or a Column, in the rows that `where` holds for."""
+def update_where(df: DataFrame, updates: dict, where: str, limit: int | None = None, order_by: str | None = None) -> DataFrame:
+    """df with the columns of updates set, to a literal or a Column, in the rows that `where` holds for; with a limit, in
+    the first so many of them by order_by alone, which must tell rows apart."""
     if not updates:
         raise ValueError("no updates")
     missing = [c for c in updates if c not in df.columns]
     if missing:
         raise ValueError(f"unknown columns: {', '.join(missing)}")
-    hit, kinds = holds(where), {f.name: f.dataType for f in df.schema}
+    hit, kinds, source = holds(where), {f.name: f.dataType for f in df.schema}, df
+    if limit is not None:
+        first, on = _first(df, where, limit, order_by)
+        source, hit = df.join(first.withColumn("_hit", F.lit(True)), on, "left"), F.col("_hit").isNotNull()
     value = lambda v, c: (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])
-    return df.select(*[F.when(hit, value(updates[c], c)).otherwise(F.col(f"`{c}`")).alias(c) if c in updates else F.col(f"`{c}`") for c in df.columns])
+    return source.select(*[F.when(hit, value(updates[c], c)).otherwise(F.col(f"`{c}`")).alias(c) if c in updates else F.col(f"`{c}`") for c in df.columns])
 
 
 def update_keyed(df: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: str | None = None, given: Sequence[str] = ()) -> DataFrame:
@@ -107,6 +111,12 @@ def delete_where(df: DataFrame, where: str, limit: int | None = None, order_by:
     """
     if limit is None:
         return df.where(~holds(where))
+    first, on = _first(df, where, limit, order_by)
+    return df.join(first, on, "left_anti")
+
+
+def _first(df: DataFrame, where: str, limit: int, order_by: str | None) -> tuple[DataFrame, Column]:
+    """The order columns of the first `limit` rows that `where` holds for, and the condition that finds them in df."""
     if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
         raise ValueError("limit must be a positive whole number")
     if not order_by:
@@ -116,7 +126,7 @@ def delete_where(df: DataFrame, where: str, limit: int | None = None, order_by:
     on = F.lit(True)
     for c in columns:
         on = on & df[c].eqNullSafe(first[f"_o_{c}"])
-    return df.join(first, on, "left_anti")
+    return first, on
 
 
 def copy_rows(df: DataFrame, where: str | None = None) -> DataFrame:

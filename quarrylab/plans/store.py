@@ -340,6 +340,10 @@ class Store(Versions):
     def get_primary_key(self, table: str) -> str | None:
         return next(iter(self._meta(table)["primary_key"]), None)
 
+    def get_primary_keys(self, table: str) -> list[str]:
+        """All columns of the primary key."""
+        return list(self._meta(table)["primary_key"])
+
     def get_foreign_keys(self, table: str) -> list[dict]:
         return list(self._meta(table)["foreign_keys"])
 
@@ -556,11 +560,12 @@ class Store(Versions):
                 new = new.join(marks, "_at")
             self._replace(table, dml.update_keyed(stored, new, keys, "_at", given))
 
-    def update_where(self, table: str, updates: dict, where: str) -> int:
+    def update_where(self, table: str, updates: dict, where: str, limit: int | None = None) -> int:
+        """Set columns in the rows that `where` holds for, or the first so many of them; their number."""
         with self._change():
             hit = self.get_row_count(table, where)
-            self._replace(table, dml.update_where(self._stored(table), updates, where))
-            return hit
+            self._replace(table, dml.update_where(self._stored(table), updates, where, limit, ROWID if limit is not None else None))
+            return hit if limit is None else min(hit, limit)
 
     update = update_where
 
@@ -591,35 +596,61 @@ class Store(Versions):
         with self._change():
             self._meta(table)["files"] = []
 
-    def is_loadable(self, table: str | None = None) -> bool:
-        """Whether rows of the table, or of all tables, can be read, and its array cells have their hashes."""
+    def _loads(self, table: str | None, probe) -> bool:
         try:
-            for name in [table] if table else self.get_table_names():
-                self.read(name).limit(1).collect()
-                columns = self.read(name).columns
-                for c in columns:
-                    if f"{c}_is_compressed" in columns and not arrays.verify(self.read(name).where(F.col(f"{c}_hash").isNotNull()), c).where(~F.col(f"{c}_ok")).isEmpty():
-                        return False
+            return all(probe(self.read(name)) for name in ([table] if table else self.get_table_names()))
         except Exception:  # whatever a damaged file or cell raises
             return False
-        return True
+
+    def is_rows_loadable(self, table: str | None = None) -> bool:
+        """Whether rows of the table, or of all tables, can be read."""
+        return self._loads(table, lambda df: df.limit(1).collect() is not None)
+
+    def is_arrays_loadable(self, table: str | None = None) -> bool:
+        """Whether all array cells have the hashes that are kept with them."""
+
+        def hold(df: DataFrame) -> bool:
+            named = [c for c in df.columns if f"{c}_is_compressed" in df.columns]
+            return all(arrays.verify(df.where(F.col(f"{c}_hash").isNotNull()), c).where(~F.col(f"{c}_ok")).isEmpty() for c in named)
+
+        return self._loads(table, hold)
+
+    def is_blobs_loadable(self, table: str | None = None) -> bool:
+        """Whether the bytes of all objects can be unpacked."""
+
+        def unpacked(df: DataFrame) -> bool:
+            if {*OBJECTS} <= {*df.columns}:
+                df.agg(F.sum(F.length(arrays.raw_bytes(F.col("data"), F.col("compressed") == 1)))).collect()
+            return True
+
+        return self._loads(table, unpacked)
+
+    def is_loadable(self, table: str | None = None) -> bool:
+        """Whether rows, array cells and objects of the table, or of all tables, can be read."""
+        return self.is_rows_loadable(table) and self.is_arrays_loadable(table) and self.is_blobs_loadable(table)
 
     list_tables, list_indexes, upsert = get_table_names, get_indexes, replace_many
 
     # Arrays and objects
 
+    def _cell(self, column: str, array: np.ndarray, compress: bool | None, level: int) -> dict:
+        cell = arrays.encode(array, self.compress_by_default if compress is None else compress, level)
+        return {column: cell.pop("data")} | {f"{column}_{k}": v for k, v in cell.items()}
+
+    def _companions(self, table: str, columns: Iterable[str]) -> None:
+        present = self.read(table).columns
+        for column in columns:
+            for suffix, declaration in COMPANIONS.items():
+                if f"{column}_{suffix}" not in present:
+                    self.add_column(table, f"{column}_{suffix}", declaration)
+
     def save_arrays(self, table: str, data: dict[str, np.ndarray], ids: int | Sequence[int] | None = None, additional_columns: dict | None = None, compress: bool | None = None, compress_level: int = 6) -> None:
         """One row of array cells; with an id, the cells of that row."""
-        wish, values = self.compress_by_default if compress is None else compress, dict(additional_columns or {})
+        values = dict(additional_columns or {})
         for column, array in data.items():
-            cell = arrays.encode(array, wish, compress_level)
-            values |= {column: cell.pop("data")} | {f"{column}_{k}": v for k, v in cell.items()}
+            values |= self._cell(column, array, compress, compress_level)
         with self._change():
-            present = self.read(table).columns
-            for column in data:
-                for suffix, declaration in COMPANIONS.items():
-                    if f"{column}_{suffix}" not in present:
-                        self.add_column(table, f"{column}_{suffix}", declaration)
+            self._companions(table, data)
             key = self.get_primary_key(table) or "id"
             if ids is None:
                 self.insert_many(table, [values])
@@ -630,8 +661,27 @@ class Store(Versions):
             else:
                 self.insert_many(table, [{key: own} | values])
 
-    def save_array(self, table: str, data: np.ndarray, column: str = "data", ids=None, additional_columns=None, compress=None, compress_level: int = 6) -> None:
-        self.save_arrays(table, {column: data}, ids, additional_columns, compress, compress_level)
+    def save_array(self, table: str, data: np.ndarray | Sequence[np.ndarray], column: str = "data", ids=None, additional_columns=None, compress=None, compress_level: int = 6) -> None:
+        """One array; or a list of arrays for a list of ids, in one change."""
+        if isinstance(data, np.ndarray) or not isinstance(data, Sequence):
+            self.save_arrays(table, {column: data}, ids, additional_columns, compress, compress_level)
+            return
+        ids = [] if ids is None else list(ids)
+        if len(ids) != len(data) or len({*ids}) != len(ids):
+            raise ValueError("an id of its own is asked for with each array")
+        key = self.get_primary_key(table) or "id"
+        new = [{key: i} | dict(additional_columns or {}) | self._cell(column, a, compress, compress_level) for i, a in zip(ids, data)]
+        with self._change():
+            self._companions(table, [column])
+            there = {r[key] for r in rows.get_rows(self.read(table), [key], ids, id_column=key).collect()}
+            self.update_many(table, [r for r in new if r[key] in there], key)
+            self.insert_many(table, [r for r in new if r[key] not in there])
+
+    def get_array_dict(self, df: pd.DataFrame, columns=None, dtype=None, shape=None) -> dict[str, np.ndarray | None]:
+        return arrays.array_dict(df, columns, dtype, shape)
+
+    def decode_array_columns(self, df: pd.DataFrame, columns=None, dtype=None, shape=None) -> pd.DataFrame:
+        return arrays.decode_frame(df, columns, dtype, shape)
 
     def load_arrays(self, table: str, columns="all", ids="all", where=None, order_by=None) -> dict[str, np.ndarray] | None:
         """The stacked arrays of each column, rows first, in the order of the ids; None without any."""
@@ -717,10 +767,16 @@ class Store(Versions):
         if not self._depth:
             self.vacuum()
 
-    def vacuum(self) -> int:
-        """Delete snapshots that neither the manifest nor a commit names; their number. It waits for open transactions to end."""
+    def vacuum(self, into: str | Path | None = None) -> int:
+        """Delete snapshots that neither the manifest nor a commit names; their number. It waits for open transactions to end.
+
+        With `into` nothing is deleted: what is in use is copied into that folder.
+        """
         if self._depth:
             raise ValueError("vacuum within a transaction")
+        if into is not None:
+            self.backup(into)
+            return 0
         with self.maintenance_lock(), self._held(".use"):
             self._load()
             used = {f for m in self._manifest["tables"].values() for f in m["files"]} | self._files_of_commits()
@@ -741,6 +797,11 @@ class Store(Versions):
             text = json.dumps(self._manifest).replace(json.dumps(str(self.root))[1:-1] + "/", json.dumps(str(path))[1:-1] + "/")
             (Path(path) / "manifest.json").write_text(text)
 
+    def working_copy(self, path: str | Path) -> Store:
+        """A store of its own, of the same contents, in another folder."""
+        self.backup(path)
+        return Store(self.spark, path, "rw", self.compress_by_default)
+
     def check_health(self) -> dict:
         """Loadability of every table, empty ones, orphans, and the score."""
         from .health import status

@@ -328,3 +328,52 @@ def test_numbers_of_rows_from_several_tasks(spark, store):
 def test_scripts_end_statements_outside_literals(store):
     found = store.executescript("SELECT 'a;b' AS x; -- a comment; with one\nSELECT 2 AS x /* ; */;\n;  -- nothing\n")
     assert [r.first()["x"] for r in found] == ["a;b", 2]
+
+
+def test_update_of_the_first_rows(items):
+    assert items.update_where("items", {"name": "low"}, "value >= 5", limit=3) == 3
+    assert items.get_rows("items", ["value"], where="name = 'low'", order_by="value", return_as="list") == [(5.0,), (6.0,), (7.0,)]
+    assert items.get_row_count("items") == 20
+    assert items.update_where("items", {"name": "high"}, "value >= 18", limit=9) == 2
+    with pytest.raises(ValueError):
+        items.update_where("items", {"name": "x"}, "value > 1", limit=0)
+
+
+def test_arrays_of_several_ids_and_frames(store):
+    store.create_table("t", {"id": "INTEGER PRIMARY KEY", "data": "BLOB"})
+    several = [np.arange(6.0).reshape(2, 3) + n for n in range(3)]
+    store.save_array("t", several[0] * 9, ids=2)
+    store.save_array("t", several, ids=[1, 2, 5])
+    assert np.array_equal(store.load_array("t", ids=[5, 1, 2]), np.stack([several[2], several[0], several[1]]))
+    for wrong in ([1, 2], [1, 2, 2], None):
+        with pytest.raises(ValueError):
+            store.save_array("t", several, ids=wrong)
+    frame = store.get_rows("t", order_by="id", return_as="dataframe")
+    assert np.array_equal(store.get_array_dict(frame)["data"], np.stack(several))
+    decoded = store.decode_array_columns(frame)
+    assert decoded["data"][1].shape == (2, 3) and isinstance(frame["data"][1], (bytes, bytearray))
+    plain = pd.DataFrame({"x": [np.arange(4, dtype="int16").tobytes(), None]})
+    assert store.decode_array_columns(plain, ["x"], "int16", (2, 2))["x"].tolist()[0].tolist() == [[0, 1], [2, 3]]
+    with pytest.raises(ValueError):
+        store.decode_array_columns(plain, ["x"])
+    assert store.is_rows_loadable("t") and store.is_arrays_loadable() and store.is_blobs_loadable()
+    store.update_where("t", {"data_hash": "0"}, "id = 5")
+    assert store.is_rows_loadable("t") and not store.is_arrays_loadable("t") and not store.is_loadable()
+
+
+def test_objects_that_do_not_unpack(store):
+    store.save_blob("objects", list(range(2000)), "k", compress=True)
+    assert store.is_blobs_loadable("objects")
+    store.update_where("objects", {"data": b"damaged"}, "key = 'k'")
+    assert not store.is_blobs_loadable("objects") and store.is_rows_loadable("objects")
+
+
+def test_copies(items, tmp_path):
+    with pytest.raises(ValueError), items.transaction():
+        items.vacuum(tmp_path / "within")
+    assert items.vacuum(tmp_path / "copy") == 0
+    with items.working_copy(tmp_path / "work") as work:
+        work.delete_where("items", "value > 3")
+        assert work.get_row_count("items") == 4
+    assert items.get_row_count("items") == 20
+    assert items.get_primary_keys("items") == ["id"]
