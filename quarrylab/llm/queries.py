@@ -11,6 +11,7 @@ from .packing import op7_packing
 from .personal_data import op10_personal_data
 from .positional_index import OP5_SQL, op5_decontamination
 from .sharding import op4_sharding
+from .spelling import OP13_SQL, op13_spelling_variants
 from .suffix_tree import op2_suffix_tree
 from .token_files import op8_token_files
 
@@ -25,7 +26,8 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 #: Beside the ten: strict licence labels, which op6_licenses, whose SQL stays, doesn't have.
 MORE_QUERIES = {"license_notices": op6_notices}
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle(), "op9_near_duplicates": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle(), "op9_near_duplicates": OP9_SQL, "op13_spelling_variants": OP13_SQL}
