@@ -5,6 +5,7 @@ from __future__ import annotations
 from .importance import op1_importance_resampling
 from .licenses import op6_licenses, op6_notices
 from .licenses import oracle as license_oracle
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .near_duplicates import OP9_SQL, op9_near_duplicates
 from .nearest import op3_nearest
 from .packing import op7_packing
@@ -26,8 +27,9 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_spelling_variants": op13_spelling_variants,
 }
 #: Beside the ten: strict licence labels, which op6_licenses, whose SQL stays, doesn't have.
 MORE_QUERIES = {"license_notices": op6_notices}
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle(), "op9_near_duplicates": OP9_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_licenses": license_oracle(), "op9_near_duplicates": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_spelling_variants": OP13_SQL}
