@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .importance import op1_importance_resampling
+from .language import op12_language_id
 from .licenses import op6_licenses, op6_notices
 from .licenses import oracle as license_oracle
 from .merkle import OP11_SQL, op11_merkle_manifest
@@ -28,6 +29,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
     "op13_spelling_variants": op13_spelling_variants,
 }
 #: Beside the ten: strict licence labels, which op6_licenses, whose SQL stays, doesn't have.
