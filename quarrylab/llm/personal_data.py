@@ -42,7 +42,7 @@ LIKELIER = {
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
     "key": ("key", "token", "secret"),
-    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "api-key", "credential", "credentials", "auth", "bearer"),
+    "secret": ("password", "passwd", "pwd", "passphrase", "token", "secret", "key", "apikey", "api-key", "access-key", "accesskey", "credential", "credentials", "auth", "bearer"),
 }
 LESS_LIKELY = {"ip": ("version", "release", "build"), "card": ("isbn", "serial", "order"), "phone": ("order", "serial"), "ssn": ("part", "order", "serial"), "secret": ("commit", "checksum", "digest", "sha", "md", "etag", "revision")}
 #: IBAN lengths outside 15..34 don't exist.
@@ -76,11 +76,15 @@ _KEY = re.compile(
 )
 #: A run of 16 and more letters and digits; it is a secret if it is as mixed as a random one, and its context says so.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-#: A value given to something that is called a secret.
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"']{6,128})")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----")
-#: Runs longer than this are encoded data, and of lesser entropy (bits a character) are words.
-SECRET_LENGTH, SECRET_BITS = 512, 2.5
+#: A value given to something that is called a secret, whole whatever its length.
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"']{6,})")
+#: Headers, as of an encrypted key, may come before the key's bytes.
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----(?:\s+[A-Za-z][A-Za-z-]*:[^\n]*(?=\n))*[A-Za-z0-9+/=\s]+-----END (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----")
+#: Runs of lesser entropy (bits a character) are words.
+SECRET_BITS = 2.5
+#: Beginnings that the patterns for keys start with, and parts of the words that a secret needs nearby: a text without any is not searched.
+_KEY_MARKS = ("AKIA", "ASIA", "gh", "xox", "sk-", "k_live_", "AIza", "eyJ")
+_SECRET_MARKS = ("passw", "pwd", "passphrase", "token", "secret", "key", "credential", "auth", "bearer")
 
 
 def luhn(digits: str) -> bool:
@@ -101,15 +105,23 @@ def entropy(text: str) -> float:
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of digits and letters mixed, as random ones are, and values with a digit and a letter that are given to a secret's name."""
-    last = 0
+    """Runs of digits and letters mixed, as random ones are, and values with a digit and a letter that are given to a secret's name.
+
+    Where some of them overlap, all that they cover is one span, so that no end of one is left over.
+    """
+    lowered = text.lower()
+    if not any(mark in lowered for mark in _SECRET_MARKS):
+        return
     mixed = lambda run, n: sum(c.isdigit() for c in run) >= n and sum(c.isalpha() for c in run) >= n
-    runs = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() <= SECRET_LENGTH and mixed(m[0], 2) and entropy(m[0]) >= SECRET_BITS]
+    runs = [m.span() for m in _RUN.finditer(text) if mixed(m[0], 2) and entropy(m[0]) >= SECRET_BITS]
     values = [m.span(1) for m in _ASSIGNED.finditer(text) if mixed(m[1], 1)] if "=" in text or ":" in text else []
+    joined: list[list[int]] = []
     for start, end in sorted(runs + values):
-        if start >= last:
-            last = end
-            yield start, end
+        if joined and start < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    yield from map(tuple, joined)
 
 
 def _digits(text: str) -> str:
@@ -159,12 +171,12 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
                 yield "ssn", *m.span()
-    keys = [m.span() for m in _KEY.finditer(text)] + ([m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else [])
+    keys = ([m.span() for m in _KEY.finditer(text)] if any(mark in text for mark in _KEY_MARKS) else []) + ([m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else [])
     yield from (("key", a, b) for a, b in keys)
     taken = sorted(keys)
     for a, b in _secrets(text):
-        at = bisect(taken, (b,))
-        if not at or taken[at - 1][1] <= a:
+        at = bisect(taken, (a, math.inf))
+        if not at or taken[at - 1][1] < b:  # what a key doesn't cover whole
             yield "secret", a, b
 
 

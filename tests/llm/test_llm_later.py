@@ -99,7 +99,7 @@ def test_spelling_variants(spark):
     edits = lambda w: [w[:i] + c + w[j:] for i in range(len(w)) for j in (i, i + 1) for c in ("", "a", "é")]
     words = [w for b in base for w in [b] * 120 + random.sample(edits(b), 9) * 2 + random.sample(edits(b), 3) * 11]
     words += ["".join(random.sample("abcdefgh", 8)) for _ in range(3000)] + [LONG_RUN, LONG_RUN, LONG_RUN + "x", LONG_RUN + "x", "LANGUAGE", "×÷×÷×÷×", "×÷×÷×÷×"]
-    words += ["chaining"] * 300 + ["chainint"] * 24 + ["chainnnt"] * 2
+    words += ["chaining"] * 400 + ["chainint"] * 33 + ["chainnnt"] * 3
     random.shuffle(words)
     rows = [(i % 50 if i % 7 else None, " ".join(words[i * 20 : i * 20 + 20])) for i in range(len(words) // 20 + 1)] + [(1, None), (2, ""), (3, "12 . short"), (4, "repeated repeated"), (4, "repeated repeated")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("word", "n", "key", "form", "root", "half", "_run", "_id")})
