@@ -86,7 +86,7 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
                     yield links()
                     key, nodes, sets = (root, i, j), [], []
                 found = shingle_set(text, size)
-                # A doc_id on several rows brings texts that aren't asked for; a text on several rows comes again.
+                # Other texts of the same hash aren't asked for.
                 if len(found) and fingerprint(found) == (lo, hi) and (not nodes or nodes[-1] != node):
                     nodes.append(node)
                     sets.append(found)
@@ -109,24 +109,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     """
     made = stage(sketches(docs, size, bands, rows), "sketches")
     grouped = made.where("lo is not null").groupBy("lo", "hi")
-    classes = grouped.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # Each class is read again from one text of its own: doc_id alone may be on many rows.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash")))
+    classes = grouped.agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     # A number of its own stands for each set, so that no two sets are one node.
+    classes = classes.withColumns({"first_id": F.col("first.doc_id"), "first_hash": F.col("first.text_hash")}).drop("first")
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other").select("band", "hub")
     candidates = components(banded.join(shared, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     classes = classes.drop("bands")
 
-    picked = stage(classes.join(candidates, "node").select("node", "lo", "hi", "first_id", "n_shingles", "root"), "picked")
+    picked = stage(classes.join(candidates, "node").select("node", "lo", "hi", "first_id", "first_hash", "n_shingles", "root"), "picked")
     blocks = picked.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
     placed = (
         picked.join(blocks, "root").withColumn("block", block).withColumn("with", F.explode(others))
-        .select("root", "node", "lo", "hi", F.col("first_id").alias("doc_id"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+        .select("root", "node", "lo", "hi", "first_id", "first_hash", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     )
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(bounded(placed.withColumnRenamed("doc_id", "wanted")), F.expr("doc_id <=> wanted"))
-    tiled = texts.select("root", "i", "j", "node", "lo", "hi", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = source.join(bounded(placed), F.expr("doc_id <=> first_id AND text_hash <=> first_hash")).select("root", "i", "j", "node", "lo", "hi", "text")
+    repeated = stage(made.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").join(picked, F.expr("doc_id <=> first_id AND text_hash <=> first_hash")).select("node"), "repeated")
+    if not repeated.isEmpty():  # copies of a row with its doc_id: one of them, found in tasks before the shuffle
+        once = texts.join(bounded(repeated), "node", "left_semi").select(*texts.columns).dropDuplicates(["root", "i", "j", "node"])
+        texts = texts.join(bounded(repeated), "node", "left_anti").select(*texts.columns).union(once)
+    tiled = texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     linked = components(verify(tiled, size, percent))
 
     grouped = classes.join(linked, "node", "left").withColumn("label", F.coalesce("root", "node"))
