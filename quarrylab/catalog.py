@@ -439,3 +439,6 @@ def window_session(t):
 def topk_per_group(t):
     best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return t.orders.withColumn("n", F.row_number().over(best)).where("n <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+from . import stored  # noqa: E402, F401 - registers the queries that run on a store

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rows import order_columns
 
+#: Ranges are laid out over so many leaves (a power of two), whose bounds are quantiles of the ranges' ends.
+LEAVES = 4096
 
-def holds(where: str) -> Column:
+
+def holds(where: str | Column) -> Column:
     """The predicate, false where it is null."""
+    if isinstance(where, Column):
+        return F.coalesce(where, F.lit(False))
     if not isinstance(where, str) or not where.strip():
         raise ValueError("a predicate is asked for")
     return F.coalesce(F.expr(where), F.lit(False))
@@ -131,3 +139,96 @@ def _first(df: DataFrame, where: str, limit: int, order_by: str | None) -> tuple
 
 def copy_rows(df: DataFrame, where: str | None = None) -> DataFrame:
     return df.where(holds(where)) if where else df
+
+
+class Term(NamedTuple):
+    """A part of a predicate over a table and update rows: a comparison of an expression of the table (left) with one of the
+    update rows, by the name of Spark's node; or, without such a name, a whole predicate over both (left)."""
+
+    kind: str
+    left: Column
+    right: Column | None
+
+    def holds(self) -> Column:
+        return {
+            "EqualTo": lambda: self.left == self.right, "LessThan": lambda: self.left < self.right, "LessThanOrEqual": lambda: self.left <= self.right,
+            "GreaterThan": lambda: self.left > self.right, "GreaterThanOrEqual": lambda: self.left >= self.right, "": lambda: self.left,
+        }[self.kind]()
+
+
+def _leaf(x: Column, bounds: list[float]) -> Column:
+    """The number of bounds that are no greater than x, by a search that halves what is left; monotonous in x."""
+    padded = F.array(*[F.lit(b) for b in bounds + [float("inf")] * (LEAVES - len(bounds))])
+    halves = F.array(*[F.lit(LEAVES >> i) for i in range(1, LEAVES.bit_length())])
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at(padded, at + half) <= x, at + half).otherwise(at))
+
+
+def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str, at: str) -> DataFrame:
+    """(row, at) of rows of df and update rows for which all terms hold: all such pairs or, where ranges alone decide, fewer, but each row's last.
+
+    Equal keys join as they are. A range (an expression of df between ends that the update rows give, one of which may be
+    missing) is no nested loop: leaves are cut at quantiles of the ends, df's rows know their leaf, and an update row is put
+    on the few nodes of a binary tree over the leaves between its ends' leaves, where of all update rows the last alone counts, and
+    on its ends' own leaves, where of those of the same end the last alone counts and is compared. So neither wide ranges nor
+    popular ends bring rows and update rows together pair by pair. Terms of other kinds are tested on joined pairs.
+    """
+    keys = [t for t in terms if t.kind == "EqualTo"]
+    ranged = [t for t in terms if t.kind not in ("", "EqualTo")]
+    measured = str(ranged[0].left) if ranged else None
+    lows = [t for t in ranged if t.kind.startswith("Greater") and str(t.left) == measured]
+    highs = [t for t in ranged if t.kind.startswith("Less") and str(t.left) == measured]
+    rest = [t for t in terms if t not in keys and t not in lows[:1] and t not in highs[:1]]
+    numeric = ranged and dict(df.select(ranged[0].left.alias("x")).dtypes)["x"] not in ("string", "binary", "boolean")
+    every = reduce(and_, [t.holds() for t in terms], F.lit(True))
+    if not numeric:
+        return df.join(updates, every).select(row, at)
+    low, high = (lows or [None])[0], (highs or [None])[0]
+    timed = dict(df.select(ranged[0].left.alias("x")).dtypes)["x"] in ("date", "timestamp_ntz")
+    as_double = lambda c: (c.cast("timestamp") if timed else c).cast("double")
+    ends = updates.select(*[(as_double(t.right) if t else F.lit(None).cast("double")).alias(n) for t, n in ((low, "lo"), (high, "hi"))])
+    shares = [i / LEAVES for i in range(1, LEAVES)]
+    found = ends.select(F.explode(F.array("lo", "hi")).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).approxQuantile("x", shares, 0.25 / LEAVES)
+    bounds = sorted({*found})
+    key_names = [f"_k{i}" for i in range(len(keys))]
+    df = df.where(ranged[0].left.isNotNull())
+    side = df.select(row, *[t.left.alias(n) for t, n in zip(keys, key_names)], ranged[0].left.alias("_x")).withColumn("_leaf", _leaf(as_double(F.col("_x")), bounds)) if not rest else df.withColumn("_leaf", _leaf(as_double(ranged[0].left), bounds))
+    real = reduce(and_, [t.right.isNotNull() for t in (low, high) if t], F.lit(True))
+    lo_leaf = _leaf(as_double(low.right), bounds) if low else F.lit(-1)
+    hi_leaf = _leaf(as_double(high.right), bounds) if high else F.lit(LEAVES)
+    placed = updates.where(real).withColumns({"_lo_leaf": lo_leaf, "_hi_leaf": hi_leaf}).where("_lo_leaf <= _hi_leaf")
+    if rest:  # every pair is tested: update rows on all the leaves that they reach
+        spread = placed.withColumn("_on", F.explode(F.sequence(F.greatest("_lo_leaf", F.lit(0)), F.least("_hi_leaf", F.lit(LEAVES - 1)))))
+        return side.join(spread, every & (F.col("_leaf") == F.col("_on"))).select(row, at)
+    own = placed.select(
+        *[t.right.alias(f"_u{n}") for t, n in zip(keys, key_names)], (low.right if low else F.lit(None).cast("double")).alias("_lo"), (high.right if high else F.lit(None).cast("double")).alias("_hi"), "_lo_leaf", "_hi_leaf", at,
+    )
+    of = [f"_u{n}" for n in key_names]
+    same_keys = reduce(and_, [F.col(n) == F.col(f"_u{n}") for n in key_names], F.lit(True))
+    # Leaves that hold an end: what is compared there is that end alone, or both if they share the leaf.
+    nothing = lambda n: F.lit(None).cast(dict(own.dtypes)[n])
+    place = lambda leaf, lo, hi, when: F.when(when, F.struct(F.col(leaf).alias("on"), lo.alias("lo"), hi.alias("hi")))
+    apart, lo, hi = F.col("_lo_leaf") < F.col("_hi_leaf"), F.col("_lo"), F.col("_hi")
+    ends = [place("_lo_leaf", lo, hi, ~apart)] + ([place("_lo_leaf", lo, nothing("_hi"), apart)] if low else []) + ([place("_hi_leaf", nothing("_lo"), hi, apart)] if high else [])
+    listed = own.select(*of, at, F.explode(F.filter(F.array(*ends), lambda e: e.isNotNull())).alias("end"))
+    edge = listed.select(*of, F.col("end.on").alias("_on"), F.col("end.lo").alias("_lo"), F.col("end.hi").alias("_hi"), at).groupBy(*of, "_on", "_lo", "_hi").agg(F.max(at).alias(at))
+    x = F.col("_x")
+    above = F.col("_lo").isNull() | ((x > F.col("_lo")) if low and low.kind == "GreaterThan" else (x >= F.col("_lo")))
+    below = F.col("_hi").isNull() | ((x < F.col("_hi")) if high and high.kind == "LessThan" else (x <= F.col("_hi")))
+    near = side.join(edge, same_keys & (F.col("_leaf") == F.col("_on")) & above & below).select(row, at)
+    # Leaves between the ends: nodes of the tree, the least number of them.
+    levels = LEAVES.bit_length()
+    first, last = F.col("_lo_leaf") + 1, F.col("_hi_leaf") - 1
+    inner = own.where(first <= last).select(*of, first.alias("_a"), last.alias("_b"), at)
+    found = []
+    for level in range(levels):
+        size = 1 << level
+        a, b = F.ceil(F.col("_a") / size).cast("int"), (F.floor((F.col("_b") + 1) / size) - 1).cast("int")
+        # A node of this level is taken if it is within, and the node above it isn't.
+        up_a, up_b = F.ceil(F.col("_a") / (2 * size)) * 2, F.floor((F.col("_b") + 1) / (2 * size)) * 2 - 1
+        ends = F.array(F.struct(F.lit(level).alias("level"), a.alias("on")), F.struct(F.lit(level).alias("level"), b.alias("on")))
+        found.append(F.filter(F.array_distinct(ends), lambda n: (n.on >= a) & (n.on <= b) & ((up_a > up_b) | (n.on < up_a) | (n.on > up_b))))  # noqa: B023
+    nodes = inner.select(*of, at, F.explode(F.flatten(F.array(*found))).alias("n")).select(*of, F.col("n.level").alias("_level"), F.col("n.on").alias("_on"), at)
+    node = nodes.groupBy(*of, "_level", "_on").agg(F.max(at).alias(at))
+    up = side.select("*", F.posexplode(F.array(*[F.shiftright("_leaf", level) for level in range(levels)])).alias("_at_level", "_node"))
+    covered = up.join(node, same_keys & (F.col("_at_level") == F.col("_level")) & (F.col("_node") == F.col("_on"))).select(row, at)
+    return near.union(covered)

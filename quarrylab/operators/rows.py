@@ -27,8 +27,12 @@ def order_columns(order_by: str | Sequence[str] | None) -> list[Column]:
     return found
 
 
+def predicate(where: str | Column) -> Column:
+    return where if isinstance(where, Column) else F.expr(where)
+
+
 def get_rows(
-    df: DataFrame, columns: str | Sequence[str] | None = None, ids: int | Sequence[int] | str = "all", where: str | None = None, order_by: str | None = None,
+    df: DataFrame, columns: str | Sequence[str] | None = None, ids: int | Sequence[int] | str = "all", where: str | Column | None = None, order_by: str | None = None,
     limit: int | None = None, offset: int | None = None, include_blobs: bool = True, id_column: str = "id",
 ) -> DataFrame:
     """Rows of df that `where` holds for and whose id is among ids, sorted, from the offset on, as many as the limit.
@@ -40,8 +44,8 @@ def get_rows(
         df = df.where(F.col(id_column) == ids)
     elif ids != "all":
         df = df.where(F.col(id_column).isin(list(ids)))
-    if where:
-        df = df.where(F.expr(where))
+    if where is not None and not (isinstance(where, str) and not where):
+        df = df.where(predicate(where))
     if order_by:
         df = df.orderBy(*order_columns(order_by))
     if offset:
@@ -61,9 +65,9 @@ def select(df: DataFrame, columns: Sequence[str] | None = None, where: str | Non
     return df.sparkSession.sql(query, args=params or None, df=df)
 
 
-def count_rows(df: DataFrame, where: str | None = None) -> DataFrame:
+def count_rows(df: DataFrame, where: str | Column | None = None) -> DataFrame:
     """The number of rows that `where` holds for, as a table of one row."""
-    return (df.where(F.expr(where)) if where else df).agg(F.count(F.lit(1)).alias("n"))
+    return (df if where is None or isinstance(where, str) and not where else df.where(predicate(where))).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounded_count(df: DataFrame, most: int = 100_000) -> DataFrame:

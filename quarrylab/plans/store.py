@@ -22,7 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ from ..operators import constraints, dedup, dml, rows
 from ..session import shared_dir
 from ..sources.delimited import read_csv, write_csv, write_single_csv
 from ..types import COMPANIONS, ConflictError, IntegrityError, declared_type, pandas_declaration, parse, spark_type
+from .statements import Statements
 from .versions import Versions
 
 ROWID = "__rowid"
@@ -56,6 +57,7 @@ class Store(Versions):
         self.compress_by_default, self.timeout = compress_by_default, timeout
         self._lock, self._saved, self._staged, self._using = threading.RLock(), [], [], None
         self.enforce_foreign_keys = True
+        self._statements = Statements(self)
         if not self._manifest_path.exists():
             if mode != "rwc":
                 raise FileNotFoundError(self._manifest_path)
@@ -221,60 +223,77 @@ class Store(Versions):
         self._staged.append(path)
         return path
 
-    def _append(self, table: str, new: DataFrame) -> None:
-        """Add rows that conform to the table, numbered without gaps in their order; old files stay as they are."""
+    def _put(self, table: str, df: DataFrame) -> DataFrame:
+        """df written beside the table, to be read several times within a change; vacuum deletes it."""
+        return self.spark.read.schema(df.schema).parquet(self._write(table, df))
+
+    def _append(self, table: str, new: DataFrame) -> int:
+        """Add rows that conform to the table, numbered without gaps in their order; old files stay as they are. Their number.
+
+        A whole-number key that isn't given is one more than the largest key until then, of the table and of the rows before.
+        """
         meta = self._meta(table)
         schema = T.StructType.fromJson(meta["schema"])
         first, key = meta["next_rowid"], meta["primary_key"]
-        own = key[0] if len(key) == 1 and meta["types"][key[0]] in ("INTEGER", "INT") else None
-
-        def placed(rows: DataFrame) -> DataFrame:
-            """A key that isn't given is the row's number; _given, which only this method reads, says where it was."""
-            given = F.col(own).isNotNull() if own else F.lit(True)
-            filled = [F.coalesce(F.col(own), F.col(ROWID)).alias(own) if c == own else F.col(f"`{c}`") for c in schema.names]
-            return rows.select(*filled, given.alias("_given"))
-
-        path = self._write(table, placed(new.withColumn(ROWID, F.monotonically_increasing_id() + first)))
+        own = key[0] if len(key) == 1 and meta["types"][key[0]] in ("INTEGER", "INT", "BIGINT", "SMALLINT") else None
+        path = self._write(table, new.withColumn(ROWID, F.monotonically_increasing_id() + first).select(*[f"`{c}`" for c in schema.names]))
         added = self.spark.read.schema(schema).parquet(path)
-        last, n = added.agg(F.max(ROWID), F.count(F.lit(1))).first()
-        if n and last - first + 1 != n:  # written by several tasks, each with numbers of its own: close the gaps between them
-            raw = self.spark.read.schema(T.StructType([*schema, T.StructField("_given", T.BooleanType())])).parquet(path)
-            task = F.shiftright(F.col(ROWID) - first, 33).alias("_task")
-            before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-            starts = raw.groupBy(task).count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row a task
-            raw = raw.withColumn(own, F.when(F.col("_given"), F.col(own))) if own else raw
-            dense = raw.drop("_given").withColumn("_task", task).join(starts, "_task").withColumn(ROWID, F.col("_before") + (F.col(ROWID) - first).bitwiseAND((1 << 33) - 1) + first)
-            path = self._write(table, placed(dense))
+        last, n, missing = added.agg(F.max(ROWID), F.count(F.lit(1)), F.count(F.when(F.col(own).isNull(), 1)) if own else F.lit(0)).first()
+        if n and (missing or last - first + 1 != n):  # written by several tasks, each with numbers of its own: close the gaps between them
+            path = self._write(table, self._numbered(added, first, own if missing else None, self._stored(table)).select(*[f"`{c}`" for c in schema.names]))
             added = self.spark.read.schema(schema).parquet(path)
         self._check(table, added, self._stored(table))
         if n:
             meta["files"].append(path)
             meta["next_rowid"] = first + n
-
-    def _replace(self, table: str, df: DataFrame, check: bool = True) -> None:
-        """Put a new state in the table's place; df has row numbers."""
+        return n
+
+    def _numbered(self, added: DataFrame, first: int, own: str | None, old: DataFrame) -> DataFrame:
+        """added with row numbers from `first` on without gaps, and the keys that miss in `own`, by each task's sums of the tasks before it."""
+        within = Window.partitionBy("_task").orderBy(ROWID)
+        rows = added.withColumn("_task", F.shiftright(F.col(ROWID) - first, 33))
+        ahead = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # over a row a task
+        sums = [F.count(F.lit(1)).alias("_rows")]
+        if own:
+            # A given key less the missing ones before it: the largest of these, and the missing ones until a row, are its key.
+            rows = rows.withColumn("_missing", F.count(F.when(F.col(own).isNull(), 1)).over(within)).withColumn("_base", F.col(own) - F.col("_missing"))
+            sums += [F.max("_missing").alias("_m"), F.max("_base").alias("_b")]
+        before = rows.groupBy("_task").agg(*sums).withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+        if own:
+            before = before.withColumn("_m_before", F.coalesce(F.sum("_m").over(ahead), F.lit(0))).withColumn("_b", F.col("_b") - F.col("_m_before"))
+            before = before.withColumn("_b_before", F.max("_b").over(ahead)).drop("_m", "_b")
+        dense = rows.join(before.drop("_rows"), "_task").withColumn(ROWID, F.col("_before") + (F.col(ROWID) - first).bitwiseAND((1 << 33) - 1) + first)
+        if own:
+            top = old.agg(F.max(own)).first()[0] or 0
+            reached = F.greatest(F.lit(top), F.col("_b_before"), F.max("_base").over(within) - F.col("_m_before"))
+            dense = dense.withColumn(own, F.coalesce(F.col(own), reached + F.col("_m_before") + F.col("_missing")))
+        return dense
+
+    def _replace(self, table: str, df: DataFrame, check: bool = True, touched: Iterable[str] | None = None) -> None:
+        """Put a new state in the table's place; df has row numbers. Only constraints on touched columns are checked, if these are named."""
         meta = self._meta(table)
         path = self._write(table, df)
         meta["files"], meta["schema"] = [path], df.schema.jsonValue()
         if check:
-            self._check(table, self._stored(table), None)
+            self._check(table, self._stored(table), None, touched)
 
-    def _check(self, table: str, new: DataFrame, old: DataFrame | None) -> None:
+    def _check(self, table: str, new: DataFrame, old: DataFrame | None, touched: Iterable[str] | None = None) -> None:
         """Hold new rows against the constraints, and against the old rows' keys where those count."""
         meta = self._meta(table)
-        needed = [c for c in {*meta["not_null"], *meta["primary_key"]} if c in new.columns]
+        touched = {*(new.columns if touched is None else touched)}
+        needed = [c for c in {*meta["not_null"], *meta["primary_key"]} if c in new.columns and c in touched]
         if needed and (broken := [r["column_name"] for r in constraints.null_violations(new, needed).where("nulls > 0").collect()]):
             raise IntegrityError(f"{table}: null in {', '.join(broken)}")
         for keys in [meta["primary_key"], *meta["unique"].values()]:
-            if not keys:
+            if not touched & {*keys}:
                 continue
             if not constraints.unique_violations(new, keys).isEmpty() or (old is not None and meta["files"] and not new.join(old.select(*keys), list(keys), "left_semi").isEmpty()):
                 raise IntegrityError(f"{table}: {', '.join(keys)} must be unique")
         for fk in meta["foreign_keys"] if self.enforce_foreign_keys else ():
-            if not constraints.foreign_key_violations(new, fk["column"], self.read(fk["table"]), fk["to"]).isEmpty():
+            if fk["column"] in touched and not constraints.foreign_key_violations(new, fk["column"], self.read(fk["table"]), fk["to"]).isEmpty():
                 raise IntegrityError(f"{table}: {fk['column']} without a row of {fk['table']}")
 
-    def create_table(self, table: str, columns: dict[str, str], foreign_keys: Sequence[dict] | None = None, if_not_exists: bool = True) -> None:
+    def create_table(self, table: str, columns: dict[str, str], foreign_keys: Sequence[dict] | None = None, if_not_exists: bool = True, companions: bool = True) -> None:
         """A table of declared columns; array (BLOB) columns come with their companions."""
         with self._change():
             if table in self._manifest["tables"]:
@@ -284,7 +303,7 @@ class Store(Versions):
             declared = {}
             for name, text in columns.items():
                 declared[name] = text
-                if spark_type(text).typeName() == "binary" and columns is not OBJECTS:
+                if companions and spark_type(text).typeName() == "binary" and columns is not OBJECTS:
                     declared |= {f"{name}_{s}": d for s, d in COMPANIONS.items() if f"{name}_{s}" not in columns}
             parsed = {c: parse(d) for c, d in declared.items()}
             schema = T.StructType([T.StructField(c, spark_type(d)) for c, d in declared.items()] + [T.StructField(ROWID, T.LongType())])
@@ -335,7 +354,7 @@ class Store(Versions):
 
     def get_table_schema(self, table: str) -> pd.DataFrame:
         found = pd.DataFrame(self.get_column_info(table)).rename(columns={"default": "dflt_value"})
-        return found.assign(notnull=found.notnull.astype(int), pk=found.pk.astype(int))
+        return found.assign(notnull=found["notnull"].astype(int), pk=found["pk"].astype(int))
 
     def get_primary_key(self, table: str) -> str | None:
         return next(iter(self._meta(table)["primary_key"]), None)
@@ -359,7 +378,7 @@ class Store(Versions):
             if not self.table_exists(target):
                 meta = copy.deepcopy(self._meta(source)) | {"files": [], "next_rowid": 1}
                 self._manifest["tables"][target] = meta
-            self._append(target, dml.conform(dml.copy_rows(self.read(source), where), self.read(target)))
+            self._append(target, dml.conform(dml.copy_rows(self._filtered(source, where)), self.read(target)))
 
     # Columns: each returns whether it could be done
 
@@ -448,24 +467,52 @@ class Store(Versions):
 
     # Queries
 
-    def execute(self, query: str, parameters: Sequence | dict = ()) -> DataFrame:
-        """Any query Spark SQL has over the store's tables by name, with `?` or `:name` parameters; lazy."""
-        if (_COMMENT.sub(" ", query).split(None, 1) or [""])[0].upper() not in ("SELECT", "WITH", "VALUES", "FROM", "TABLE", "EXPLAIN", "DESCRIBE", "SHOW", "("):
-            raise ValueError("tables are changed by the store's methods, not by SQL text")
-        for name in self.get_table_names():
-            self.read(name).createOrReplaceTempView(name)
-        values = [str(v) if isinstance(v, pd.Timestamp) else v for v in parameters] if not isinstance(parameters, dict) else parameters
-        return self.spark.sql(query, args=values or None)
+    def execute(self, query: str, parameters: Sequence | dict = ()) -> DataFrame | int | None:
+        """Any statement, with `?` or `:name` parameters: a query's rows, lazy; the number of rows that a change has changed; else None.
+
+        Spark's parser reads it, and it has SQLite's answers (`dialect`). Changes are INSERT (OR REPLACE, OR IGNORE), REPLACE, UPDATE, DELETE, MERGE,
+        CREATE TABLE (AS), ALTER, DROP, TRUNCATE, CREATE INDEX, BEGIN, COMMIT, ROLLBACK; each is all or none.
+        """
+        return self._statements.run(query, parameters)
+
+    def executemany(self, query: str, parameters: Iterable[Sequence]) -> int:
+        """An INSERT, UPDATE or DELETE for each row of parameters, all or none; the number of rows changed."""
+        return self._statements.run_many(query, list(parameters))
 
     def execute_query(self, query: str, parameters: Sequence | dict = ()) -> list[dict]:
-        return [r.asDict() for r in self.execute(query, parameters).collect()]
+        """A query's rows as dicts; none of a statement that has no rows."""
+        found = self.execute(query, parameters)
+        return [r.asDict() for r in found.collect()] if isinstance(found, DataFrame) else []
 
     def executescript(self, script: str) -> list[DataFrame]:
-        return [self.execute(part) for part in _STATEMENTS.findall(script) if _COMMENT.sub("", part).strip()]
+        """Statement after statement; the queries' rows."""
+        done = [self.execute(part) for part in _STATEMENTS.findall(script) if _COMMENT.sub("", part).strip()]
+        return [d for d in done if isinstance(d, DataFrame)]
+
+    def _where(self, df: DataFrame, where: str | Column | None, params: Sequence | dict | None = None) -> Column | None:
+        """A predicate in SQLite's dialect over df, which may have row numbers; None without one."""
+        if where is None or isinstance(where, Column):
+            return where
+        return self._statements.dialect.predicate(df, where, params or ()) if where.strip() else None
+
+    def _filtered(self, table: str, where: str | Column | None, params: Sequence | dict | None = None) -> DataFrame:
+        """The table's rows, with their numbers dropped, that a predicate holds for."""
+        stored = self._stored(table)
+        condition = self._where(stored, where, params)
+        return (stored if condition is None else stored.where(condition)).drop(ROWID)
+
+    def _known(self, table: str, columns: Iterable[str]) -> None:
+        if unknown := [c for c in columns if c not in self.read(table).columns]:
+            raise ValueError(f"unknown columns: {', '.join(unknown)}")
+
+    def _typed(self, table: str, df: DataFrame) -> DataFrame:
+        """df's columns as the table's types."""
+        kinds = {f.name: f.dataType for f in self.read(table).schema}
+        return df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in df.columns])
 
     def get_rows(self, table: str, columns=None, ids="all", where=None, order_by=None, limit=None, offset=None, return_as: str = "spark", include_blobs: bool = True):
         """Rows as a lazy DataFrame, or as "dataframe" (pandas), "list" (tuples) or "dict" (a list of dicts)."""
-        found = rows.get_rows(self.read(table), columns, ids, where, order_by, limit, offset, include_blobs, self.get_primary_key(table) or "id")
+        found = rows.get_rows(self._filtered(table, where), columns, ids, None, order_by, limit, offset, include_blobs, self.get_primary_key(table) or "id")
         if return_as == "spark":
             return found
         if return_as == "list":
@@ -474,8 +521,8 @@ class Store(Versions):
             return [r.asDict() for r in found.collect()]
         return found.toPandas()
 
-    def get_row_count(self, table: str, where: str | None = None) -> int:
-        return rows.count_rows(self.read(table), where).first()["n"]
+    def get_row_count(self, table: str, where: str | None = None, params: Sequence | dict | None = None) -> int:
+        return rows.count_rows(self._filtered(table, where, params)).first()["n"]
 
     count = get_row_count
 
@@ -513,33 +560,65 @@ class Store(Versions):
                     parent = self.read(fk["table"])
                     if fk["column"] in parent.columns:
                         new = dml.conform(dml.inherit_foreign(new, parent, fk["column"], fk["column"], fk["to"]), self.read(table))
-            self._append(table, new.where(dml.holds(where)) if where else new)
+            self._append(table, new.where(dml.holds(self._where(new, where))) if where else new)
 
     def insert(self, table: str, data: dict) -> None:
         self.insert_many(table, [data])
 
+    def _key_sets(self, table: str) -> list[list[str]]:
+        meta = self._meta(table)
+        return [keys for keys in (meta["primary_key"], *meta["unique"].values()) if keys]
+
     def replace_many(self, table: str, rows: Iterable[dict] | DataFrame) -> None:
         """Insert rows, in the place of those with the same primary key or unique values; of such new rows the last stays."""
         with self._change():
-            meta = self._meta(table)
-            sets = [keys for keys in (meta["primary_key"], *meta["unique"].values()) if keys]
-            new = self._rows(table, rows).withColumn("_at", F.monotonically_increasing_id())
-            if sets:
-                path = self._write(table, dml.marked_last(new, sets, "_at", "_stays"))
-                written = self.spark.read.schema(T.StructType([*new.schema, T.StructField("_stays", T.BooleanType())])).parquet(path)
-                left = self._stored(table)
-                for keys in sets:
-                    left = left.join(written.select(*keys), list(keys), "left_anti").select(*left.columns)
-                self._replace(table, left, check=False)
-                new = written.where("_stays").drop("_stays")
-            self._append(table, new.orderBy("_at").drop("_at"))
-
-    def update_many(self, table: str, rows: Iterable[dict] | DataFrame, key: str | Sequence[str] | None = None) -> None:
+            self._replace_rows(table, self._rows(table, rows))
+
+    def _replace_rows(self, table: str, rows: DataFrame) -> int:
+        sets, new = self._key_sets(table), self._rows(table, rows).withColumn("_at", F.monotonically_increasing_id())
+        if sets:
+            written = self._put(table, dml.marked_last(new, sets, "_at", "_stays"))
+            left = self._stored(table)
+            for keys in sets:
+                left = left.join(written.select(*keys), list(keys), "left_anti").select(*left.columns)
+            self._replace(table, left, check=False)
+            new = written.where("_stays").drop("_stays")
+        return self._append(table, new.orderBy("_at").drop("_at"))
+
+    def _without_conflicts(self, table: str, rows: DataFrame) -> DataFrame:
+        """New rows without those whose key or unique values are there, or on a row before them."""
+        sets, new = self._key_sets(table), self._rows(table, rows).withColumn("_at", F.monotonically_increasing_id())
+        if sets:
+            written = self._put(table, new)
+            for keys in sets:
+                written = written.join(self.read(table).select(*keys), list(keys), "left_anti").select(*new.columns)
+            new = dml.marked_last(written.withColumn("_back", -F.col("_at")), sets, "_back", "_stays").where("_stays").drop("_stays", "_back")
+        return new.orderBy("_at").drop("_at")
+
+    def update_many(self, table: str, rows: Iterable[dict] | DataFrame, key: str | Sequence[str] | None = None, where: str | None = None, columns: Sequence[str] | None = None) -> int | None:
         """Set, in the rows of each dict's key (the primary key, if none is named), the other columns that it names.
 
         A column that a dict doesn't name stays as it is; of several dicts of one key the last that names a column counts.
         Dicts without that key change every row, so that the last of them stays.
+        With `where`, each dict sets `columns` (all that it names, if none are named) in the rows for which that predicate holds with
+        the dict's own values: those of `:name`, or for each `?` those of the words of the predicate that are names in the
+        dicts. One join does it, without a nested loop for keys and ranges, and the last dict wins.
         """
+        if where is not None:
+            if isinstance(rows, DataFrame):
+                raise ValueError("where takes dicts")
+            rows = list(rows)
+            if not rows:
+                return 0
+            names = list(columns or rows[0])
+            if "?" not in where:
+                return self.executemany(f"UPDATE `{table}` SET {', '.join(f'`{c}` = :{c}' for c in names)} WHERE {where}", rows)
+            asked = [w for w in where.split() if w in rows[0]]
+            text = f"UPDATE `{table}` SET {', '.join(f'`{c}` = ?' for c in names)} WHERE {where}"
+            return self.executemany(text, [[r.get(c) for c in (*names, *asked)] for r in rows])
+        if columns is not None and not isinstance(rows, DataFrame):
+            kept = {*columns, *([key] if isinstance(key, str) else key or self._meta(table)["primary_key"])}
+            rows = [{c: v for c, v in r.items() if c in kept} for r in rows]
         with self._change():
             stored, names = self._stored(table), None
             keys = [key] if isinstance(key, str) else list(key or self._meta(table)["primary_key"])
@@ -560,22 +639,28 @@ class Store(Versions):
                 new = new.join(marks, "_at")
             self._replace(table, dml.update_keyed(stored, new, keys, "_at", given))
 
-    def update_where(self, table: str, updates: dict, where: str, limit: int | None = None) -> int:
+    def update_where(self, table: str, updates: dict, where: str, limit: int | None = None, params: Sequence | dict | None = None) -> int:
         """Set columns in the rows that `where` holds for, or the first so many of them; their number."""
         with self._change():
-            hit = self.get_row_count(table, where)
-            self._replace(table, dml.update_where(self._stored(table), updates, where, limit, ROWID if limit is not None else None))
+            stored = self._stored(table)
+            condition = self._where(stored, where, params) if isinstance(where, str) and where.strip() else where
+            hit = stored.where(dml.holds(condition)).count()
+            self._replace(table, dml.update_where(stored, updates, condition, limit, ROWID if limit is not None else None), touched=updates)
             return hit if limit is None else min(hit, limit)
 
-    update = update_where
+    def update(self, table: str, data: dict, where: str, params: Sequence | dict | None = None) -> int:
+        return self.update_where(table, data, where, params=params)
 
-    def delete_where(self, table: str, where: str, limit: int | None = None) -> int:
+    def delete_where(self, table: str, where: str, limit: int | None = None, params: Sequence | dict | None = None) -> int:
         with self._change():
-            before = self.get_row_count(table)
-            self._replace(table, dml.delete_where(self._stored(table), where, limit, ROWID if limit is not None else None).select(*self._stored(table).columns), check=False)
-            return before - self.get_row_count(table)
+            stored = self._stored(table)
+            condition = self._where(stored, where, params) if isinstance(where, str) and where.strip() else where
+            hit = stored.where(dml.holds(condition)).count()
+            self._replace(table, dml.delete_where(stored, condition, limit, ROWID if limit is not None else None).select(*[f"`{c}`" for c in stored.columns]), check=False)
+            return hit if limit is None else min(hit, limit)
 
-    delete = delete_where
+    def delete(self, table: str, where: str, params: Sequence | dict | None = None) -> int:
+        return self.delete_where(table, where, params=params)
 
     def delete_duplicates(self, table: str, columns="all", include_blob: bool = False, dry_run: bool = True) -> tuple[int, int]:
         """(rows after it, duplicates); the first of equal rows stays. A dry run counts alone."""
@@ -691,7 +776,8 @@ class Store(Versions):
         columns = [columns] if isinstance(columns, str) else list(columns)
         key = self.get_primary_key(table) or "id"
         needed = [x for c in columns for x in (c, f"{c}_dtype", f"{c}_shape", f"{c}_is_compressed")]
-        found = rows.get_rows(self._stored(table), [key, *needed], ids, where, order_by or ROWID, id_column=key).collect()
+        stored = self._stored(table)
+        found = rows.get_rows(stored, [key, *needed], ids, self._where(stored, where), order_by or ROWID, id_column=key).collect()
         if not isinstance(ids, (int, str)):
             by_id = {r[key]: r for r in found}
             found = [by_id[i] for i in ids if i in by_id]
@@ -713,7 +799,7 @@ class Store(Versions):
         self.replace_many(table, [{"key": key} | row])
 
     def load_blob(self, table: str, key: str | None = None, where: str | None = None, pickled: bool = False):
-        found = {r["key"]: objects.decode(r.asDict(), pickled) for r in rows.get_rows(self.read(table) if key is None else self.read(table).where(F.col("key") == key), where=None if key is not None else where).collect()}
+        found = {r["key"]: objects.decode(r.asDict(), pickled) for r in (self._filtered(table, where) if key is None else self.read(table).where(F.col("key") == key)).collect()}
         if key is None:
             return found
         if key not in found:
@@ -736,7 +822,7 @@ class Store(Versions):
                 raise ValueError("if_exists must be append or replace")
 
     def save_to_csv(self, table: str, path: str, columns=None, where=None, single: bool = True) -> None:
-        found = rows.get_rows(self.read(table), None if columns in (None, ["*"]) else columns, where=where)
+        found = rows.get_rows(self._filtered(table, where), None if columns in (None, ["*"]) else columns)
         write_single_csv(found, path) if single else write_csv(found, path)
 
     def dataframe_to_sql(self, df: pd.DataFrame, table: str, if_exists: str = "fail") -> None:

@@ -200,8 +200,8 @@ def test_pandas(store):
 def test_sql(items):
     assert items.execute_query("SELECT count(*) AS n FROM items WHERE value > ?", [15]) == [{"n": 4}]
     assert items.execute_query('SELECT "name" FROM items WHERE value = :v', {"v": 3.0}) == [{"name": "item_3"}]
-    with pytest.raises(ValueError):
-        items.execute("DELETE FROM items")
+    before = items.get_row_count("items")
+    assert items.execute("DELETE FROM items WHERE value > ?", [15]) == 4 and items.get_row_count("items") == before - 4
 
 
 def test_versions(items):
