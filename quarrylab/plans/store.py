@@ -240,7 +240,9 @@ class Store(Versions):
         added = self.spark.read.schema(schema).parquet(path)
         last, n, missing = added.agg(F.max(ROWID), F.count(F.lit(1)), F.count(F.when(F.col(own).isNull(), 1)) if own else F.lit(0)).first()
         if n and (missing or last - first + 1 != n):  # written by several tasks, each with numbers of its own: close the gaps between them
-            path = self._write(table, self._numbered(added, first, own if missing else None, self._stored(table)).select(*[f"`{c}`" for c in schema.names]))
+            raw, path = path, self._write(table, self._numbered(added, first, own if missing else None, self._stored(table)).select(*[f"`{c}`" for c in schema.names]))
+            shutil.rmtree(raw)
+            self._staged.remove(raw)
             added = self.spark.read.schema(schema).parquet(path)
         self._check(table, added, self._stored(table))
         if n:

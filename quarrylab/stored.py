@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import Tables, query
+from .catalog import _DIFF, Tables, _versions, query
+from .operators import diff
 from .plans.store import Store, scratch
 
 SCHEMAS = {
@@ -159,3 +160,106 @@ def dialect_rowid(db):
     """Rows are numbered as they were inserted."""
     db.execute("CREATE TABLE sorted AS SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey")
     return db.execute("SELECT rowid, o_orderkey, o_totalprice FROM sorted WHERE rowid % 100 = 7")
+
+
+# Change sets, hash trees and merges of two states of orders
+
+_NEW = """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0
+UNION ALL (SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5)"""
+
+
+@query(f"""WITH a AS (SELECT * FROM orders), b AS ({_NEW}) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'INSERT' WHEN b.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
+CASE WHEN a.o_orderkey IS NULL OR b.o_orderkey IS NULL THEN 'o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' ELSE 'o_totalprice' END AS columns, a.o_totalprice AS before, b.o_totalprice AS after
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice""")
+def vc_changes(t):
+    """Each changed row with its values before and after."""
+    return diff.changes(*_versions(t), ["o_orderkey"]).select("o_orderkey", "op", F.concat_ws(",", "columns").alias("columns"), F.col("before.o_totalprice").alias("before"), F.col("after.o_totalprice").alias("after"))
+
+
+@query(_DIFF)
+def vc_tree_diff(t):
+    """Rows of buckets alone whose hashes differ between the states' trees."""
+    before, after = _versions(t)
+    trees = [diff.tree(diff.bucket_hashes(df, ["o_orderkey"])) for df in (before, after)]
+    differing = diff.changed_buckets(*trees)
+    return diff.changes(*[df.where(diff.bucket(["o_orderkey"]).isin(differing)) for df in (before, after)], ["o_orderkey"]).select("o_orderkey", "op")
+
+
+@query("SELECT level::INTEGER AS level, TRUE AS same FROM range(3) AS r(level) WHERE (SELECT count(*) FROM orders) > 0")
+def vc_tree_added(t):
+    """Hashes of two parts of a table add up to those of the whole, so that a commit reads new files alone."""
+    whole = diff.tree(diff.bucket_hashes(t.orders, ["o_orderkey"]))
+    parts = diff.tree(diff.added_hashes(*[diff.bucket_hashes(t.orders.where(f"o_custkey % 3 {op} 0"), ["o_orderkey"]) for op in ("=", "<>")]))
+    both = whole.join(parts.withColumnRenamed("hash", "other"), ["level", "node"], "full")
+    return both.groupBy("level").agg(F.bool_and(F.col("hash").eqNullSafe(F.col("other"))).alias("same"))
+
+
+@query(_NEW)
+def vc_apply(t):
+    before, after = _versions(t)
+    return diff.apply(before, diff.changes(before, after, ["o_orderkey"]), ["o_orderkey"])
+
+
+@query("SELECT * FROM orders")
+def vc_apply_back(t):
+    before, after = _versions(t)
+    return diff.apply(after, diff.reverse(diff.changes(before, after, ["o_orderkey"])), ["o_orderkey"])
+
+
+def _theirs(t: Tables) -> DataFrame:
+    """Another state: other rows deleted, other columns changed, and one column of some rows changed otherwise than in the first state."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    kept = t.orders.where("o_orderkey % 17 <> 0")
+    return kept.withColumn("o_orderstatus", F.when(key % 7 == 0, "T").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(key % 26 == 0, price + 5).otherwise(price))
+
+
+_MERGED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'T' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 26 = 0 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE o_orderkey % 11 <> 0 AND (o_orderkey % 17 <> 0 OR o_orderkey % 13 = 0)"""
+
+
+@query(f"""{_MERGED.replace("CASE WHEN o_orderkey % 7 = 0", "CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 17 <> 0")} UNION ALL (SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5)""")
+def vc_merge(t):
+    """Both states' changes together, column by column; ours stays where both have changed a value."""
+    before, ours = _versions(t)
+    changed, _ = diff.merge(before, ours, _theirs(t), ["o_orderkey"])
+    return diff.apply(ours, changed, ["o_orderkey"])
+
+
+@query("""SELECT o_orderkey, 'o_totalprice' AS column FROM orders WHERE o_orderkey % 26 = 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 17 <> 0
+UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0
+UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 17 <> 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 26 = 0)""")
+def vc_conflicts(t):
+    before, ours = _versions(t)
+    return diff.merge(before, ours, _theirs(t), ["o_orderkey"])[1].select("o_orderkey", "column")
+
+
+@on_store("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'UPDATE' ELSE 'DELETE' END AS op, CASE WHEN o_orderkey % 9 = 0 THEN 'o_orderstatus' ELSE 'o_custkey,o_orderstatus,o_totalprice,o_orderpriority' END AS columns FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 10 = 1", "orders")
+def store_git_diff(db):
+    """Replaced rows are updated ones, by the primary key."""
+    db.git_init()
+    first = db.git_commit("loaded")
+    db.replace_many("orders", db.read("orders").where("o_orderkey % 9 = 0").withColumn("o_orderstatus", F.lit("R")))
+    db.execute("DELETE FROM orders WHERE o_orderkey % 10 = 1 AND o_orderkey % 9 <> 0")
+    second = db.git_commit("changed")
+    return db.git_diff(first, second)["orders"].select("o_orderkey", "op", F.concat_ws(",", "columns").alias("columns"))
+
+
+@on_store("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'B' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 100 <> 7
+UNION ALL SELECT max(o_orderkey) + 1, 77, NULL, NULL, NULL FROM orders""", "orders")
+def store_git_merge(db):
+    """A branch and the main line change different columns and rows, and are merged."""
+    db.git_init()
+    db.git_commit("loaded")
+    db.git_branch("side")
+    db.execute("UPDATE orders SET o_totalprice = o_totalprice * 2 WHERE o_orderkey % 3 = 0")
+    db.git_commit("prices")
+    db.git_checkout("side")
+    db.execute("UPDATE orders SET o_orderstatus = 'B' WHERE o_orderkey % 5 = 0")
+    db.execute("DELETE FROM orders WHERE o_orderkey % 100 = 7 AND o_orderkey % 3 <> 0")
+    db.execute("INSERT INTO orders (o_custkey) VALUES (77)")
+    db.git_commit("states")
+    db.git_checkout("main")
+    db.execute("DELETE FROM orders WHERE o_orderkey % 100 = 7 AND o_orderkey % 3 = 0")
+    db.git_commit("rest of the sevens")
+    merged = db.git_merge("side", prefer="ours")
+    return db.read("orders") if merged["commit"] else db.read("orders").limit(0)
