@@ -16,7 +16,7 @@ import shutil
 import threading
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import arrays, objects
+from ..functions import arrays, chunks, objects
 from ..operators import columns as column_ops
 from ..operators import constraints, dedup, dml, rows
 from ..session import shared_dir
@@ -748,8 +748,13 @@ class Store(Versions):
             else:
                 self.insert_many(table, [{key: own} | values])
 
-    def save_array(self, table: str, data: np.ndarray | Sequence[np.ndarray], column: str = "data", ids=None, additional_columns=None, compress=None, compress_level: int = 6) -> None:
-        """One array; or a list of arrays for a list of ids, in one change."""
+    def save_array(self, table: str, data: np.ndarray | Sequence[np.ndarray], column: str = "data", ids=None, additional_columns=None, compress=None, compress_level: int = 6, where: str | None = None) -> None:
+        """One array; or a list of arrays for a list of ids, in one change; with `where`, one array for all rows that it holds for."""
+        if where is not None:
+            with self._change():
+                self._companions(table, [column])
+                self.update_where(table, dict(additional_columns or {}) | self._cell(column, data, compress, compress_level), where)
+            return
         if isinstance(data, np.ndarray) or not isinstance(data, Sequence):
             self.save_arrays(table, {column: data}, ids, additional_columns, compress, compress_level)
             return
@@ -770,25 +775,81 @@ class Store(Versions):
     def decode_array_columns(self, df: pd.DataFrame, columns=None, dtype=None, shape=None) -> pd.DataFrame:
         return arrays.decode_frame(df, columns, dtype, shape)
 
-    def load_arrays(self, table: str, columns="all", ids="all", where=None, order_by=None) -> dict[str, np.ndarray] | None:
-        """The stacked arrays of each column, rows first, in the order of the ids; None without any."""
-        df = self.read(table)
-        if columns == "all":
-            columns = [c for c in df.columns if f"{c}_dtype" in df.columns and f"{c}_shape" in df.columns and f"{c}_is_compressed" in df.columns]
-        columns = [columns] if isinstance(columns, str) else list(columns)
-        key = self.get_primary_key(table) or "id"
-        needed = [x for c in columns for x in (c, f"{c}_dtype", f"{c}_shape", f"{c}_is_compressed")]
-        stored = self._stored(table)
-        found = rows.get_rows(stored, [key, *needed], ids, self._where(stored, where), order_by or ROWID, id_column=key).collect()
-        if not isinstance(ids, (int, str)):
-            by_id = {r[key]: r for r in found}
-            found = [by_id[i] for i in ids if i in by_id]
+    def load_arrays(self, table: str, columns="all", ids="all", where=None, order_by=None, batch_size: int | None = None) -> dict[str, np.ndarray] | Iterator[dict[str, np.ndarray]] | None:
+        """The stacked arrays of each column, rows first, in the order of the ids, an id as often as it is named; None without any.
+
+        With batch_size, an iterator of such dicts of so many rows: the driver holds a batch, and a task's rows, at a time.
+        """
+        columns = self._array_columns(table) if columns == "all" else [columns] if isinstance(columns, str) else list(columns)
+        found = self._array_rows(table, columns, ids, where, order_by)
+        if batch_size is not None:
+            if batch_size < 1:
+                raise ValueError("batch_size must be positive")
+            return self._batches(found, columns, batch_size)
+        found = found.collect()
         made = {c: arrays.stacked(found, c) for c in columns}
         return made if any(a is not None for a in made.values()) else None
 
-    def load_array(self, table: str, column: str = "data", ids="all", where=None, order_by=None) -> np.ndarray | None:
+    def _array_columns(self, table: str) -> list[str]:
+        names = self.read(table).columns
+        return [c for c in names if {f"{c}_dtype", f"{c}_shape", f"{c}_is_compressed"} <= {*names}]
+
+    def _array_rows(self, table: str, columns: Sequence[str], ids, where, order_by) -> DataFrame:
+        """Cells and their companions; for a list of ids by a join with their places in it."""
+        key, stored = self.get_primary_key(table) or "id", self._stored(table)
+        needed = [key, *[x for c in columns for x in (c, f"{c}_dtype", f"{c}_shape", f"{c}_is_compressed")]]
+        where = self._where(stored, where)
+        if isinstance(ids, (int, str)):
+            return rows.get_rows(stored, needed, ids, where, order_by or ROWID, id_column=key)
+        asked = self.spark.createDataFrame([([int(i) for i in ids],)], "ids array<long>").select(F.posexplode("ids").alias("_place", "_id"))
+        if len(ids) <= 1000:
+            stored = stored.where(F.col(key).isin([int(i) for i in ids]))  # reaches the files
+        kept = stored if where is None else stored.where(where)
+        return kept.join(asked, F.col(key) == F.col("_id")).orderBy(*(rows.order_columns(order_by) or ["_place"])).select(*[f"`{c}`" for c in needed])
+
+    @staticmethod
+    def _batches(found: DataFrame, columns: Sequence[str], size: int) -> Iterator[dict[str, np.ndarray]]:
+        held = []
+        for row in found.toLocalIterator():
+            held.append(row)
+            if len(held) == size:
+                yield {c: arrays.stacked(held, c) for c in columns}
+                held = []
+        if held:
+            yield {c: arrays.stacked(held, c) for c in columns}
+
+    def load_array(self, table: str, column: str = "data", ids="all", where=None, order_by=None, batch_size: int | None = None):
+        if batch_size is not None:
+            return (b[column] for b in self.load_arrays(table, [column], ids, where, order_by, batch_size))
         return (self.load_arrays(table, [column], ids, where, order_by) or {}).get(column)
 
+    def save_chunks(self, table: str, found: dict[int, np.ndarray] | DataFrame, chunk_bytes: int = chunks.CHUNK_BYTES, compress: bool | None = None) -> None:
+        """Arrays by their ids, in the place of those that are there, in a table of chunks along the first axis.
+
+        From a DataFrame (id, cell) of array cells, tasks cut them; from a dict the driver does.
+        """
+        compress = self.compress_by_default if compress is None else compress
+        with self._change():
+            self.create_table(table, {"id": "INTEGER", "chunk": "INTEGER", "start": "INTEGER", "stop": "INTEGER", "dtype": "TEXT", "shape": "TEXT", "is_compressed": "BOOLEAN", "hash": "TEXT", "data": "BLOB"}, companions=False)
+            if isinstance(found, DataFrame):
+                new = chunks.chunked(found, "id", "cell", chunk_bytes, compress)
+            else:
+                kinds = {f.name: f.dataType for f in self.read(table).schema}
+                made = [{"id": int(i)} | p for i, a in found.items() for p in chunks.pieces(np.asarray(a), chunk_bytes, compress)]
+                new = self.spark.createDataFrame([tuple(r[c] for c in kinds) for r in made], self.read(table).schema)
+            new = self._put(table, self._typed(table, new))
+            self._replace(table, self._stored(table).join(new.select("id").distinct(), "id", "left_anti").select(*self._stored(table).columns), check=False)
+            self._append(table, self._rows(table, new))
+
+    def read_slice(self, table: str, first: int = 0, last: int | None = None, ids="all") -> DataFrame:
+        """(id, cell): rows first .. last - 1 of the first axis of chunked arrays; chunks outside are not read."""
+        stored = self.read(table)
+        kept = stored if isinstance(ids, str) else stored.where(F.col("id").isin([ids] if isinstance(ids, int) else list(ids)))
+        return chunks.assembled(chunks.sliced(kept, "id", first, last), "id")
+
+    def load_slice(self, table: str, first: int = 0, last: int | None = None, ids="all") -> dict[int, np.ndarray]:
+        return {r.id: arrays.decode(r.cell.data, r.cell.dtype, r.cell.shape) for r in self.read_slice(table, first, last, ids).toLocalIterator()}
+
     def verify_array_hash(self, table: str, column: str, row_id: int) -> bool:
         key = self.get_primary_key(table) or "id"
         row = arrays.verify(rows.get_rows(self.read(table), ids=row_id, id_column=key), column).first()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _DIFF, Tables, _versions, query
+from .functions import arrays, chunks
 from .operators import diff
 from .plans.store import Store, scratch
 
@@ -263,3 +264,25 @@ def store_git_merge(db):
     db.git_commit("rest of the sevens")
     merged = db.git_merge("side", prefer="ours")
     return db.read("orders") if merged["commit"] else db.read("orders").limit(0)
+
+
+# Arrays in chunks
+
+
+@query("SELECT vec_id, unnest(range(len(embedding[11:40])))::INTEGER AS pos, unnest(embedding[11:40])::DOUBLE AS x FROM embeddings")
+def array_slices(t):
+    """Rows 10 to 39 of all arrays, from chunks of 16 rows each, of which those at the ends are not read."""
+    path = f"{scratch(t.spark)}/chunks"
+    cells = t.embeddings.select("vec_id", arrays.encode_column(F.col("embedding"), "float32").alias("cell"))
+    chunks.chunked(cells, "vec_id", chunk_bytes=64).write.parquet(path)
+    found = chunks.assembled(chunks.sliced(t.spark.read.parquet(path), "vec_id", 10, 40), "vec_id")
+    return found.select("vec_id", arrays.decode_column(F.col("cell")).alias("v")).select("vec_id", F.posexplode("v").alias("pos", "x"))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding[1:20], lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def store_array_slices(t):
+    """Whole vectors kept as chunked arrays of a store; their first 20 rows summed."""
+    db = Store(t.spark, scratch(t.spark).removeprefix("file://"))
+    db.save_chunks("vectors", t.embeddings.select(F.col("vec_id").alias("id"), arrays.encode_column(F.col("embedding"), "float32").alias("cell")), chunk_bytes=40)
+    values = db.read_slice("vectors", 0, 20).select("id", arrays.decode_column(F.col("cell")).alias("v"))
+    return values.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

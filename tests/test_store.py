@@ -377,3 +377,39 @@ def test_copies(items, tmp_path):
         assert work.get_row_count("items") == 4
     assert items.get_row_count("items") == 20
     assert items.get_primary_keys("items") == ["id"]
+
+
+def test_arrays_in_batches_and_order(spark, store):
+    store.create_table("a", {"id": "INTEGER PRIMARY KEY", "data": "BLOB"})
+    store.save_array("a", [np.full((2, 3), i, "float32") for i in range(1, 8)], ids=range(1, 8))
+    asked = [5, 2, 2, 7, 99, 1]
+    assert store.load_array("a", ids=asked)[:, 0, 0].tolist() == [5, 2, 2, 7, 1]
+    batches = list(store.load_arrays("a", "data", asked, batch_size=2))
+    assert [b["data"][:, 1, 2].tolist() for b in batches] == [[5, 2], [2, 7], [1]]
+    assert [len(b) for b in store.load_array("a", batch_size=4)] == [4, 3] and list(store.load_array("a", ids=[99], batch_size=4)) == []
+    with pytest.raises(ValueError):
+        store.load_arrays("a", batch_size=0)
+    store.save_array("a", np.zeros(2), where="id >= 6")
+    assert store.load_array("a", ids=[6])[0].tolist() == [0, 0] and store.load_array("a", ids=[5])[0].shape == (2, 3) and store.verify_array_hash("a", "data", 7)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_chunks(store, compress):
+    rng = np.random.default_rng(2)
+    kept = {1: rng.normal(size=(1000, 3)), 2: np.arange(7, dtype="int16"), 3: np.zeros((0, 4), "float32"), 4: np.array(5.0), 5: rng.normal(size=(3, 500, 2))}
+    store.save_chunks("big", kept, chunk_bytes=4000, compress=compress)
+    assert store.get_row_count("big", "id = 1") == 7 and store.get_row_count("big", "id = 5") == 3  # a row of 8,000 bytes is a chunk
+    for first, last in [(0, None), (0, 1), (5, 400), (166, 167), (2, 3), (999, 2000), (5000, None)]:
+        got = store.load_slice("big", first, last)
+        for i, a in kept.items():
+            want = a if a.ndim == 0 and first == 0 else None if a.ndim == 0 else a[first:last]
+            if want is not None and want.size:
+                assert got[i].dtype == a.dtype and np.array_equal(got[i], want)
+            else:
+                assert i not in got
+    store.save_chunks("big", {2: np.arange(3)})
+    assert store.load_slice("big", ids=[2, 1], last=2)[2].tolist() == [0, 1] and store.load_slice("big", ids=2).keys() == {2}
+    plan = store.read("big").where("stop > 5 and start < 9")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(stop,5)" in plan and "LessThan(start,9)" in plan
+    with pytest.raises(ValueError):
+        store.load_slice("big", 5, 4)
