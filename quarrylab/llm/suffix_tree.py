@@ -7,8 +7,8 @@ state of the longest suffix that there is.
 
 Two trees make the model. One runs over word classes (the most frequent words for themselves, the others by their
 ending), learned from all tokens. Within a class a word is drawn by its discounted count, and what the discount
-sets free goes to the spelling of the word, by the second tree, which runs over letters and is learned from all
-distinct words. So seen and unseen words have a probability, and the trees' sizes are bounded by their alphabets.
+sets free goes to the spelling of the word, by the second tree, which runs over letters, from a word's last to its first, and is
+learned from all distinct words. A word's spelling is given its class: its probability is divided by that of all words of the class. So seen and unseen words have a probability, and the trees' sizes are bounded by their alphabets.
 """
 
 from __future__ import annotations
@@ -141,8 +141,8 @@ def grow(counts: DataFrame, alphabet: Alphabet) -> Tree:
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, letters, starts) of words in a row, each after so many ends of word that no context reaches back."""
-    gap = b" " * LETTERS.depth
+    """(bytes, letters, starts) of words in a row, each from its end to its beginning, after so many ends of word that no context reaches back."""
+    gap, words = b" " * LETTERS.depth, [w[::-1] for w in words]
     spelling = np.frombuffer(gap + gap.join(words) + b" ", np.uint8)
     letters = np.where(spelling == 0x20, 0, _LETTER[spelling])
     lengths = np.array([len(w) + LETTERS.depth for w in words])
@@ -153,16 +153,29 @@ class Speller(NamedTuple):
     tree: Tree
     log10_byte: np.ndarray
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's bytes and the end of word."""
+    def score(self, words: list[bytes], whole: bool = True) -> np.ndarray:
+        """log10 probability of each word's bytes from the last to the first, and of the end of word; if not whole, of all words that end so."""
         if not words:
             return np.zeros(0)
         spelling, letters, starts = spelled(words)
         steps = self.tree.steps(LETTERS.contexts(letters), letters) + self.log10_byte[spelling]
         sums = np.concatenate([[0], np.cumsum(steps, dtype=np.float64)])
-        ends = starts + np.array([len(w) for w in words]) + 1
+        ends = starts + np.array([len(w) for w in words]) + whole
         return sums[ends] - sums[starts]
 
+    def masses(self, classes: Classes) -> np.ndarray:
+        """log10 probability of all words of each class together; 0 of a class that is one word."""
+        top, endings = list(classes.words), list(classes.endings)
+        pairs, single = [e for e in endings if len(e) == 2], [e for e in endings if len(e) == 1]
+        found = np.zeros(CLASSES.symbols)
+        found[[classes.endings[e] for e in pairs]] = 10.0 ** self.score(pairs, whole=False)
+        found[[classes.endings[e] for e in single]] = 10.0 ** self.score(single)
+        found[-1] = 1.0 - found[:-1].sum() - 10.0 ** self.score([b""])[0]  # no word is empty
+        for word, p in zip(top, 10.0 ** self.score(top)):
+            found[classes.endings.get(word[-2:], CLASSES.symbols - 1)] -= p  # it has a class of its own
+        found[: 1 + len(top)] = 1.0
+        return np.log10(np.maximum(found, 1e-12))
+
 
 class Classes(NamedTuple):
     """Which class a word is of; tokens and distinct words of each class."""
@@ -282,6 +295,7 @@ class Model(NamedTuple):
     tokens: np.ndarray
     distinct: np.ndarray
     frequent: pa.Table
+    masses: np.ndarray
 
     def shares(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, unit, spelt) of each word, the last two as log10: its share in its class is max(count - DISCOUNT, 0) * unit + spelt."""
@@ -291,7 +305,7 @@ class Model(NamedTuple):
         unit = -np.log10(np.maximum(tokens, 1))
         free = np.where(tokens > 0, math.log10(DISCOUNT) + np.log10(np.maximum(distinct, 1)) + unit, 0.0)
         # A class of one word is all that word's.
-        return kinds, np.where(alone, -np.inf, unit), np.where(alone, 0.0, free + self.speller.score(words))
+        return kinds, np.where(alone, -np.inf, unit), np.where(alone, 0.0, free + self.speller.score(words) - self.masses[kinds])
 
 
 def log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -339,7 +353,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     classes = choose_classes(words)
     speller, tokens, distinct = learn_spelling(words, classes)
     frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
-    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(Model(classes, learn_classes(training, classes), speller, tokens, distinct, frequent))
+    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(Model(classes, learn_classes(training, classes), speller, tokens, distinct, frequent, speller.masses(classes)))
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _vocabularies:

@@ -493,6 +493,13 @@ def test_suffix_tree_is_a_distribution(spark):
     tree = suffix_tree.learn_classes(docs, classes)
     assert np.allclose((10.0**tree.log10_next).sum(axis=1), 1) and np.allclose((10.0**speller.tree.log10_next).sum(axis=1), 1)
     assert tokens.sum() == 300 * 31 and distinct.sum() == 7
+    # Given its class, all words of a class have probability 1: here the words up to 3 letters of one ending, and what goes on from there.
+    masses = 10.0 ** speller.masses(classes)
+    for ending, k in classes.endings.items():
+        if len(ending) == 2:
+            longer = [bytes([x]) + ending for x in range(256) if x not in (*range(9, 14), 32)]
+            all_words = (10.0 ** speller.score([ending])).sum() + (10.0 ** speller.score(longer, whole=False)).sum() - sum(10.0 ** speller.score([w])[0] for w in classes.words if w[-2:] == ending)
+            assert math.isclose(all_words, masses[k], rel_tol=1e-9)
     one = speller.score([b"aa"])[0]
     assert np.allclose(speller.score([b"cc", b"aa", b"fab"])[1], one) and speller.score([b"zq"])[0] < one
     whole = {r.doc_id: r.score for r in suffix_tree.score_documents(docs).collect()}
@@ -671,7 +678,7 @@ def test_suffix_tree_scores(spark):
     kind = lambda w: classes.of(w)
     texts = lambda t: [w.encode() for w in t.split()]
     by_class = tree([[*map(kind, texts(t)), 0] for k, t in rows if trains(k)], 256, 2)
-    letters = lambda w: [int(suffix_tree._LETTER[b]) for b in w] + [0]
+    letters = lambda w: [int(suffix_tree._LETTER[b]) for b in w[::-1]] + [0]
     by_letter = tree([letters(w) for w in n], 32, 5)
     seen = Counter(b for w in n for b in w)
     space = {9, 10, 11, 12, 13, 32}
@@ -681,11 +688,20 @@ def test_suffix_tree_scores(spark):
         tokens[kind(w)] += c
         distinct[kind(w)] += 1
 
+    spell = lambda code, w: by_letter(code) + sum(math.log10((1 + seen[b]) / same(b)) for b in w)
+
+    def mass(k):
+        """Of all words of a class: those that end as it does, or in no class's way, but for the words with their own class."""
+        ending = lambda e: 10 ** spell(letters(e)[: None if len(e) == 1 else -1], e)
+        own = sum(10 ** spell(letters(w), w) for w in classes.words if classes.endings.get(w[-2:], 255) == k)
+        ends = [e for e, x in classes.endings.items() if x == k]
+        return (ending(ends[0]) if ends else 1 - sum(map(ending, classes.endings)) - 10 ** spell([0], b"")) - own
+
     def share(w):
         k = kind(w)
         if k <= 3:
             return 0.0
-        spelt = by_letter(letters(w)) + sum(math.log10((1 + seen[b]) / same(b)) for b in w)
+        spelt = spell(letters(w), w) - math.log10(mass(k))
         free = 0.75 * distinct[k] / tokens[k] if tokens[k] else 1.0
         return math.log10((max(n[w] - 0.75, 0) / tokens[k] if n[w] else 0) + free * 10**spelt)
 
