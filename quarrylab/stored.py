@@ -286,3 +286,17 @@ def store_array_slices(t):
     db.save_chunks("vectors", t.embeddings.select(F.col("vec_id").alias("id"), arrays.encode_column(F.col("embedding"), "float32").alias("cell")), chunk_bytes=40)
     values = db.read_slice("vectors", 0, 20).select("id", arrays.decode_column(F.col("cell")).alias("v"))
     return values.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# SQLite files
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority LIKE '1%'")
+def sqlite_source(t):
+    """Orders written to SQLite files by the tasks, and read with the filter in SQLite's own query."""
+    from .sources.sqlite import read_sqlite, write_sqlite
+
+    folder = f"{scratch(t.spark).removeprefix('file://')}/sqlite"
+    write_sqlite(t.orders, folder, "orders")
+    orders = read_sqlite(t.spark, folder, "orders", columns=["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
+    return orders.where("o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority LIKE '1%'").select("o_orderkey", "o_custkey", "o_totalprice")
