@@ -44,10 +44,15 @@ def duplicate_rate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sums.select("total", (F.col("total") - F.col("kept")).alias("duplicates"), F.when(F.col("kept") > 0, (F.col("total") - F.col("kept")) / F.col("kept")).otherwise(0.0).alias("rate"))
 
 
-def delete_one(df: DataFrame, row: dict, order_by: str) -> DataFrame:
-    """df without the first row, by the unique order_by, that equals `row` in its columns; a null equals nothing."""
+def equal_rows(df: DataFrame, row: dict) -> DataFrame:
+    """The rows that equal `row` in its columns; a null equals nothing."""
     same = F.lit(True)
     for c, v in row.items():
         same = same & (F.col(c) == F.lit(v))
-    first = df.where(same).agg(F.min(order_by).alias("_first"))
+    return df.where(same)
+
+
+def delete_one(df: DataFrame, row: dict, order_by: str) -> DataFrame:
+    """df without the first row, by the unique order_by, that equals `row` in its columns; a null equals nothing."""
+    first = equal_rows(df, row).agg(F.min(order_by).alias("_first"))
     return df.join(F.broadcast(first), df[order_by] == first["_first"], "left_anti")  # one row

@@ -7,8 +7,10 @@ the conflict clause of INSERT OR REPLACE, UNIQUE before INDEX, and type names.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Sequence
+from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
 from py4j.java_gateway import JavaObject
@@ -34,6 +36,17 @@ _TYPE_NAMES = {"TEXT": "STRING", "CLOB": "STRING", "NVARCHAR": "STRING", "BLOB":
 _SET_ASIDE = "_u_"
 
 
+@contextmanager
+def _quiet():
+    """Without the log entry of a statement that the parser refuses: the caller is told, or it is tried again."""
+    logger = logging.getLogger("SQLQueryContextLogger")
+    before, logger.disabled = logger.disabled, True
+    try:
+        yield
+    finally:
+        logger.disabled = before
+
+
 class Statements:
     """Statements over one store."""
 
@@ -182,7 +195,8 @@ class Statements:
         text = re.sub(r"\bAUTOINCREMENT\b", "", text, flags=re.I) if re.match(r"\s*CREATE\s+TABLE\b", text, re.I) else text
         while True:
             try:
-                return self.catalyst.parse(text), conflict, unique
+                with _quiet():
+                    return self.catalyst.parse(text), conflict, unique
             except ParseException as e:
                 # The parser says where a type's name is that it doesn't know.
                 at = (e.getQueryContext() or [None])[0] if e.getCondition() == "UNSUPPORTED_DATATYPE" else None

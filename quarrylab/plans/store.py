@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from ..functions import arrays, chunks, objects
 from ..operators import columns as column_ops
-from ..operators import constraints, dedup, dml, rows
+from ..operators import constraints, dedup, dml, rows, statistics
 from ..session import shared_dir
-from ..sources.delimited import read_csv, write_csv, write_single_csv
+from ..sources.delimited import NULL, read_csv, write_csv, write_single_csv
 from ..types import COMPANIONS, ConflictError, IntegrityError, declared_type, pandas_declaration, parse, spark_type
 from .statements import Statements
 from .versions import Versions
@@ -675,6 +675,20 @@ class Store(Versions):
             self._replace(table, dedup.keep_first(stored, keys, ROWID).select(*stored.columns), check=False)
         return found["total"] - found["duplicates"], found["duplicates"]
 
+    def verify_duplicated_index(self, table: str, row: dict) -> bool:
+        """Whether a row with these values is there; a null equals nothing."""
+        self._known(table, row)
+        return not dedup.equal_rows(self.read(table), row).limit(1).isEmpty()
+
+    def delete_entry(self, table: str, row: dict, dry_run: bool = True) -> bool:
+        """Delete the first row with these values, and no other; whether there is one. A dry run deletes nothing."""
+        there = self.verify_duplicated_index(table, row)
+        if there and not dry_run:
+            with self._change():
+                stored = self._stored(table)
+                self._replace(table, dedup.delete_one(stored, row, ROWID).select(*[f"`{c}`" for c in stored.columns]), check=False)
+        return there
+
     def sort_table(self, table: str, order_by: str) -> None:
         with self._change():
             self._replace(table, self._stored(table).orderBy(*rows.order_columns(order_by)), check=False)
@@ -871,22 +885,28 @@ class Store(Versions):
 
     # Files
 
-    def load_from_csv(self, table: str, path: str, if_exists: str = "append") -> None:
-        """Rows of a CSV file; columns that the table lacks are dropped. "replace" makes the table anew from the file."""
+    def load_from_csv(self, table: str, path: str, if_exists: str = "append", null: str = "") -> None:
+        """Rows of a CSV file or folder; columns that the table lacks are dropped, and what reads `null` is null. "replace" makes the table anew."""
         with self._change():
             if if_exists == "replace":
-                df = read_csv(self.spark, path, null="")
+                df = read_csv(self.spark, path, null=null)
                 self._manifest["tables"].pop(table, None)
                 self.create_table(table, {f.name: declared_type(f.dataType) for f in df.schema})
                 self._append(table, dml.conform(df, self.read(table)))
             elif if_exists == "append":
-                self._append(table, self._rows(table, read_csv(self.spark, path, self.read(table), null="")))
+                self._append(table, self._rows(table, read_csv(self.spark, path, self.read(table), null=null)))
             else:
                 raise ValueError("if_exists must be append or replace")
 
-    def save_to_csv(self, table: str, path: str, columns=None, where=None, single: bool = True) -> None:
-        found = rows.get_rows(self._filtered(table, where), None if columns in (None, ["*"]) else columns)
-        write_single_csv(found, path) if single else write_csv(found, path)
+    def save_to_csv(self, table: str, path: str, columns=None, where=None, single: bool = False, null: str = NULL) -> None:
+        """A folder of CSV files, or a single one that tasks write in parts; nulls are written as `null`, which load_from_csv takes too.
+
+        Columns may be expressions of Spark SQL.
+        """
+        kept = self._filtered(table, where)
+        asked = None if columns in (None, "*", ["*"]) else [columns] if isinstance(columns, str) else list(columns)
+        found = kept if asked is None else kept.select(*[F.col(f"`{c}`") if c in kept.columns else F.expr(c) for c in asked])
+        write_single_csv(found, path, f"{self.root}/tables/.csv-{uuid.uuid4().hex}", null) if single else write_csv(found, path, null)
 
     def dataframe_to_sql(self, df: pd.DataFrame, table: str, if_exists: str = "fail") -> None:
         if if_exists not in ("fail", "replace", "append"):
@@ -906,13 +926,43 @@ class Store(Versions):
 
     summary = __call__ = get_summaries
 
-    def optimize(self) -> None:
-        """Write each table in few files, sorted by its first plain index within them, and drop files out of use."""
+    def analyze(self, table: str | None = None) -> int:
+        """Make the statistics of the table's, or all tables', files that have none yet; the number of files read. Old files are not read again."""
+        done = 0
+        with self._change():
+            known = self._manifest.setdefault("stats", {})
+            for name in [table] if table else self.get_table_names():
+                meta = self._meta(name)
+                schema = T.StructType.fromJson(meta["schema"])
+                for file in [f for f in meta["files"] if f not in known]:
+                    known[file] = self._write(name, statistics.sketches(self.spark.read.schema(schema).parquet(file).drop(ROWID)).coalesce(1))
+                    done += 1
+        return done
+
+    def get_column_stats(self, table: str) -> DataFrame:
+        """Exact counts and bounds, and estimates of distinct values, quartiles and frequent values of each column (`statistics.estimates`); of files
+        that `analyze` has not seen, it is called first."""
+        if {*self._meta(table)["files"]} - {*self._manifest.get("stats", {})}:
+            self.analyze(table)
+        files = [self._manifest["stats"][f] for f in self._meta(table)["files"]]
+        if not files:
+            raise ValueError(f"{table} has no rows")
+        return statistics.estimates(statistics.merged(self.spark.read.parquet(*files)))
+
+    def _files_in_use(self) -> set[str]:
+        """All folders of the tables, the commits, and their statistics."""
+        used = {f for m in self._manifest["tables"].values() for f in m["files"]} | self._files_of_commits()
+        return used | {at for f, at in self._manifest.get("stats", {}).items() if f in used}
+
+    def optimize(self, analyze: bool = False) -> None:
+        """Write each table in few files, sorted by its first plain index within them, and drop files out of use; then make statistics, if asked."""
         with self._change():
             for name, meta in self._manifest["tables"].items():
                 if meta["files"]:
                     order = next(iter(meta["indexes"].values()), [ROWID])
                     self._replace(name, self._stored(name).repartitionByRange(*order).sortWithinPartitions(*order), check=False)
+        if analyze:
+            self.analyze()
         if not self._depth:
             self.vacuum()
 
@@ -928,7 +978,7 @@ class Store(Versions):
             return 0
         with self.maintenance_lock(), self._held(".use"):
             self._load()
-            used = {f for m in self._manifest["tables"].values() for f in m["files"]} | self._files_of_commits()
+            used = self._files_in_use()
             stale = [p for p in (self.root / "tables").glob("*/*") if str(p) not in used]
             for p in stale:
                 shutil.rmtree(p)
@@ -937,7 +987,7 @@ class Store(Versions):
     def backup(self, path: str | Path, progress=None) -> None:
         """Copy the store's snapshots and its manifest into another folder, where they make a store."""
         with self.maintenance_lock():
-            files = sorted({f for m in self._manifest["tables"].values() for f in m["files"]} | self._files_of_commits())
+            files = sorted(self._files_in_use())
             for n, f in enumerate(files, 1):
                 shutil.copytree(f, Path(path) / Path(f).relative_to(self.root), dirs_exist_ok=True)
                 if progress:
@@ -980,3 +1030,12 @@ class Store(Versions):
             sample = [r.asDict() for r in rows.blob_placeholders(df).limit(sample_size).collect()]
             found.append({"table_name": name, "columns": self.get_column_info(name), "row_count": ">100,000" if approximate else n, "is_approximate": approximate, "sample_data": sample})
         return found
+
+
+def delete_sqlite3_duplicates(spark: SparkSession, path: str | Path, table: str, columns="all", include_blob: bool = False, dry_run: bool = True) -> tuple[int | None, int | None]:
+    """Store.delete_duplicates of the store at a path; (None, None) of what can't be opened or has no such table."""
+    try:
+        with Store(spark, path, "ro" if dry_run else "rw") as db:
+            return db.delete_duplicates(table, columns, include_blob, dry_run)
+    except (OSError, ValueError):
+        return None, None

@@ -176,7 +176,7 @@ def test_objects(store):
 
 def test_csv(items, tmp_path):
     path = str(tmp_path / "out.csv")
-    items.save_to_csv("items", path, where="value < 10")
+    items.save_to_csv("items", path, where="value < 10", single=True, null="")
     items.create_table("imported", {"name": "TEXT", "value": "REAL"})
     items.load_from_csv("imported", path)
     assert items.get_row_count("imported") == 10 and items.read("imported").columns == ["name", "value"]
@@ -413,3 +413,50 @@ def test_chunks(store, compress):
     assert "GreaterThan(stop,5)" in plan and "LessThan(start,9)" in plan
     with pytest.raises(ValueError):
         store.load_slice("big", 5, 4)
+
+
+def test_csv_files_keep_nulls_and_empty_texts(store, tmp_path):
+    store.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT, x REAL, b BLOB)")
+    store.insert_many("t", [{"id": 1, "s": "", "x": 1.5, "b": b"\x00\xff"}, {"id": 2, "s": None}, {"id": 3, "s": 'a,"b"\nc', "x": None}])
+    for single in (False, True):
+        path = str(tmp_path / f"out-{single}")
+        store.save_to_csv("t", path, single=single)
+        store.create_table(f"back{single}", {"id": "INTEGER PRIMARY KEY", "s": "TEXT", "x": "REAL", "b": "BLOB"})
+        store.load_from_csv(f"back{single}", path, null="\\N")
+        rows = lambda name: sorted((r.id, r.s, r.x, r.b) for r in store.read(name).collect())
+        assert rows(f"back{single}") == rows("t")
+    store.save_to_csv("t", str(tmp_path / "some.csv"), ["id", "x * 2 AS double"], where="id < 3", single=True, null="none")
+    assert (tmp_path / "some.csv").read_text() == "id,double\n1,3.0\n2,none\n"
+
+
+def test_column_statistics(spark, store):
+    store.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT, x REAL)")
+    store.insert_many("t", spark.range(5000).selectExpr("id", "CASE WHEN id % 10 > 0 THEN concat('s', id % 100) END AS s", "id / 2 AS x"))
+    assert store.analyze("t") == 1 and store.analyze("t") == 0
+    store.insert_many("t", spark.range(5000, 20000).selectExpr("id", "'often' AS s", "CAST(NULL AS DOUBLE) AS x"))
+    assert store.analyze() == 1  # the new file alone
+    found = {r.column: r for r in store.get_column_stats("t").collect()}
+    assert (found["id"].n, found["id"].nulls, found["id"].least, found["id"].greatest) == (20000, 0, 0, 19999) and abs(found["id"].distinct - 20000) < 600
+    assert all(abs(q - 20000 * share) < 300 for q, share in zip(found["id"].quantiles, (0.25, 0.5, 0.75)))
+    assert (found["s"].nulls, found["s"].least_text, found["s"].greatest_text, found["s"].quantiles) == (500, "often", "s99", None) and abs(found["s"].distinct - 91) < 3
+    assert found["s"].frequent[0].item == "often" and found["s"].frequent[0]["count"] == 15000 and found["x"].nulls == 15000
+    store.vacuum()
+    assert store.analyze() == 0 and store.get_column_stats("t").count() == 3
+    store.optimize(analyze=True)
+    assert store.analyze() == 0
+    with pytest.raises(ValueError):
+        store.execute("CREATE TABLE none (a INTEGER)")
+        store.get_column_stats("none")
+
+
+def test_entries_and_duplicates_by_path(spark, store):
+    from quarrylab.plans.store import delete_sqlite3_duplicates
+
+    store.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+    store.execute("INSERT INTO t VALUES (1, 'x'), (1, 'x'), (2, NULL), (1, 'x')")
+    assert store.verify_duplicated_index("t", {"a": 1, "b": "x"}) and not store.verify_duplicated_index("t", {"a": 2, "b": None})
+    assert store.delete_entry("t", {"a": 1}) and store.get_row_count("t") == 4
+    assert store.delete_entry("t", {"a": 1}, dry_run=False) and store.get_row_count("t") == 3 and not store.delete_entry("t", {"a": 9}, dry_run=False)
+    assert delete_sqlite3_duplicates(spark, store.root, "t") == (3, 1) and store.get_row_count("t") == 3
+    assert delete_sqlite3_duplicates(spark, store.root, "t", dry_run=False) == (2, 1)
+    assert delete_sqlite3_duplicates(spark, "/nowhere/at/all", "t") == (None, None) == delete_sqlite3_duplicates(spark, store.root, "none")
