@@ -80,6 +80,25 @@ def test_stages_on_awkward_rows(spark):
         assert step(spark, docs.limit(0), SF).count() == 0
 
 
+def test_all_stages_on_awkward_rows(spark):
+    """Nulls, empty, long and repeated texts, ties, and columns with the names that stages use inside: each stage gives rows of all columns."""
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, "x y z " * 50_000), (1, "x y z " * 50_000), (2, None), (3, ""), (None, None), (None, "some plain words of no doc"), (5, f"before {passage} after"), (5, "another text with that id"), (6, " \n\t"), (7, "12 ?!")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_key_id", "_key_hash", "key_id", "key_hash", "KEY_ID_", "component", "kept", "text_hash", "label", "row"):
+        docs = docs.withColumn(name, corpus_pipeline.F.lit("clash"))
+    docs = corpus_pipeline.stage(docs, "rows")
+    got = {name: corpus_pipeline.stage(step(spark, docs, SF), name) for name, step in corpus_pipeline.STAGES}
+    assert all(got[n].columns == docs.columns for n, _ in corpus_pipeline.STAGES[:-1])
+    texts = lambda n: Counter((r.doc_id, r.text) for r in got[n].collect())
+    whole = Counter(rows)
+    assert texts("decontamination") == whole - Counter([rows[6]]) and texts("near_duplicates") == whole - Counter([rows[0]]) and texts("personal_data") == whole
+    kept = texts("quality")
+    assert all(n in (0, whole[r]) for r, n in kept.items()) and not kept - whole
+    pieces = got["packing"].collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(k for k, _ in rows) and sum(r.doc_tokens == 1 for r in pieces) >= 3
+
+
 def test_op8_agrees_with_op7(spark):
     ids = {r.doc_id: r.n_tokens for r in QUERIES["op8_token_files"](spark, SF).collect()}
     assert ids == {r.doc_id: r.doc_tokens for r in QUERIES["op7_packing"](spark, SF).collect()}
