@@ -32,9 +32,11 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one, for all of a session, only where none is named."""
+    """The folder that driver and executors share; a local one, for all of a session, only where none is named and no other machine works."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = spark.sparkContext.applicationId
         named = _folders.get(own) or _folders.setdefault(own, tempfile.mkdtemp(prefix="spark-shared-"))
     return named.rstrip("/")
