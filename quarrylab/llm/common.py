@@ -66,6 +66,14 @@ def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return mapped(df, apply, schema)
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """df over as many tasks as work at once, if it is a scan of fewer splits, as of a file with one row group; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import mapped, read, stage
+from .common import mapped, over_cores, read, stage
 from .shingles import GOLDEN, mix
 from .tokens import encoded, packed
 
@@ -95,7 +95,7 @@ def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, i
             width = pa.array(np.full(len(ends), ids.itemsize, np.int32))
             yield pa.RecordBatch.from_arrays([frame["doc_id"], width, packed(ids, ends), *map(pa.array, at.T)], ["doc_id", "width", "ids", *points])
 
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = over_cores(docs.select(F.col("doc_id").cast("long"), "text"))
     tokens = stage(mapped(source, apply, "doc_id long, width int, ids binary, " + ", ".join(f"{x} double" for x in points)), "token-rows")
     measured = tokens.agg(F.sum(F.octet_length("ids")), *[f(x) for f in (F.avg, F.stddev_pop) for x in points]).first()
     centre, spread = ([float(v or 0.0) for v in measured[at : at + DIMENSIONS]] for at in (1, 1 + DIMENSIONS))

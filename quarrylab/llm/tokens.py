@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, over_cores
 from .words import distinct, frames, remembered, split, spread
 
 #: Words kept in a worker's memory before it starts anew.
@@ -157,4 +157,4 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for frame, ids, ends in encoded(batches, tokenizer, end_id):
             yield pa.RecordBatch.from_arrays([frame["doc_id"], pa.array(np.full(len(ends), ids.itemsize, np.int32)), packed(ids, ends)], ["doc_id", "width", "ids"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), apply, "doc_id long, width int, ids binary")
+    return mapped(over_cores(docs.select(F.col("doc_id").cast("long"), "text")), apply, "doc_id long, width int, ids binary")
