@@ -10,8 +10,12 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrays import COMPRESS_FROM, decode as decode_array
+from .arrays import COMPRESS_FROM, raw_bytes
+from .arrays import decode as decode_array
 
 
 def encode(data, compress: bool, level: int = 6, metadata: dict | None = None, pickled: bool = False) -> dict:
@@ -43,3 +47,30 @@ def decode(row: dict, pickled: bool = False):
     if not pickled:
         raise ValueError("this object is a pickle; pickled=True loads it, which runs code of whoever wrote it")
     return pickle.loads(raw)
+
+
+def encoded(found: DataFrame, compress: bool = False, level: int = 6) -> DataFrame:
+    """The rows of objects given as JSON texts (key, json, and perhaps metadata, as JSON too), encoded in tasks as `encode` does."""
+    host, pid = platform.node(), os.getpid()
+
+    @F.pandas_udf("data binary, compressed long, metadata string")
+    def cells(texts: pd.Series, notes: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, note in zip(texts, notes):
+            raw = text.encode()
+            packed = compress and len(raw) > COMPRESS_FROM
+            stored = zlib.compress(raw, level) if packed else raw
+            kept = (json.loads(note) if note else {}) | ({"original_size": len(raw), "compressed_size": len(stored)} if packed else {})
+            rows.append((stored, int(packed), json.dumps(kept) if kept else None))
+        return pd.DataFrame(rows, columns=["data", "compressed", "metadata"])
+
+    notes = F.col("metadata") if "metadata" in found.columns else F.lit(None).cast("string")
+    made = found.where(F.col("json").isNotNull()).select("key", cells("json", notes).alias("c"))
+    return made.select("key", F.unix_timestamp().cast("double").alias("timestamp"), F.lit(pid).cast("long").alias("pid"), F.lit(host).alias("hostname"), "c.data", "c.compressed", F.lit("json").alias("data_type"), "c.metadata")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """(key, data_type, value, metadata) of objects' rows; value and metadata as VARIANT. What is no JSON is null."""
+    raw = raw_bytes(F.col("data"), F.col("compressed") == 1)
+    value = F.when(F.col("data_type") == "json", F.try_parse_json(F.decode(raw, "UTF-8")))
+    return rows.select("key", "data_type", value.alias("value"), F.try_parse_json("metadata").alias("metadata"))

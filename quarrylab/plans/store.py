@@ -219,7 +219,13 @@ class Store(Versions):
 
     def _write(self, table: str, df: DataFrame) -> str:
         path = str(self.root / "tables" / table / uuid.uuid4().hex)
-        df.write.parquet(path)
+        meta = self._manifest["tables"].get(table)
+        keys = {c for cs in (meta["primary_key"], *meta["unique"].values(), *meta["indexes"].values()) for c in cs} if meta else set()
+        writer = df.write
+        for c in sorted(keys & {f.name for f in df.schema if isinstance(f.dataType, (T.LongType, T.StringType, T.DoubleType))}):
+            # A Bloom filter of each row group tells a lookup by an indexed column what it need not read.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(path)
         self._staged.append(path)
         return path
 
@@ -289,12 +295,18 @@ class Store(Versions):
         for keys in [meta["primary_key"], *meta["unique"].values()]:
             if not touched & {*keys}:
                 continue
-            if not constraints.unique_violations(new, keys).isEmpty() or (old is not None and meta["files"] and not new.join(old.select(*keys), list(keys), "left_semi").isEmpty()):
+            if not constraints.unique_violations(new, keys).isEmpty() or (old is not None and meta["files"] and not new.join(self._those(old, new, keys[0]).select(*keys), list(keys), "left_semi").isEmpty()):
                 raise IntegrityError(f"{table}: {', '.join(keys)} must be unique")
         for fk in meta["foreign_keys"] if self.enforce_foreign_keys else ():
             if fk["column"] in touched and not constraints.foreign_key_violations(new, fk["column"], self.read(fk["table"]), fk["to"]).isEmpty():
                 raise IntegrityError(f"{table}: {fk['column']} without a row of {fk['table']}")
 
+    @staticmethod
+    def _those(old: DataFrame, new: DataFrame, key: str, most: int = 500) -> DataFrame:
+        """old, without rows whose key is none of new's, if these are few: then they are listed, and files are skipped by their bounds and Bloom filters."""
+        found = [r[0] for r in new.select(key).where(F.col(key).isNotNull()).limit(most + 1).collect()]
+        return old if len(found) > most else old.where(F.col(key).isin(found))
+
     def create_table(self, table: str, columns: dict[str, str], foreign_keys: Sequence[dict] | None = None, if_not_exists: bool = True, companions: bool = True) -> None:
         """A table of declared columns; array (BLOB) columns come with their companions."""
         with self._change():
@@ -443,7 +455,8 @@ class Store(Versions):
     # Indexes
 
     def create_index(self, table: str, column_names: str | Sequence[str], index_name: str | None = None, unique: bool = False) -> None:
-        """A unique index is a constraint from now on; another one is a note on the layout that `optimize` sorts by."""
+        """A unique index is a constraint from now on; another one is what `optimize` sorts by. Files written from now on, and by `optimize`
+        all of them, have Bloom filters on indexed columns, so that lookups and the checks of appended keys skip row groups."""
         names = [column_names] if isinstance(column_names, str) else list(column_names)
         with self._change():
             meta = self._meta(table)
@@ -875,13 +888,36 @@ class Store(Versions):
         self.create_table(table, OBJECTS)
         self.replace_many(table, [{"key": key} | row])
 
-    def load_blob(self, table: str, key: str | None = None, where: str | None = None, pickled: bool = False):
-        found = {r["key"]: objects.decode(r.asDict(), pickled) for r in (self._filtered(table, where) if key is None else self.read(table).where(F.col("key") == key)).collect()}
+    def save_objects(self, table: str, found: DataFrame, compress: bool | None = None, compress_level: int = 6) -> None:
+        """Keep many objects, (key, json) or (key, json, metadata) as texts, in the place of those of the same keys; tasks encode them."""
+        self.create_table(table, OBJECTS)
+        with self._change():
+            self._replace_rows(table, objects.encoded(found, self.compress_by_default if compress is None else compress, compress_level))
+
+    def read_objects(self, table: str, keys: Sequence[str] | None = None, ids: Sequence[int] | None = None, where: str | None = None) -> DataFrame:
+        """(key, data_type, value, metadata) of all objects, or those of some keys or row numbers, lazy: value and metadata are VARIANTs whose
+        paths Spark queries; the value of an array or a pickle is null."""
+        stored = self._stored(table)
+        if keys is not None:
+            stored = stored.where(F.col("key").isin(list(keys)))
+        if ids is not None:
+            stored = stored.where(F.col(ROWID).isin([int(i) for i in ids]))
+        condition = self._where(stored, where)
+        return objects.decoded(stored if condition is None else stored.where(condition))
+
+    def load_blob(self, table: str, key: str | None = None, where: str | None = None, pickled: bool = False, ids: int | Sequence[int] | None = None):
+        """The object of a key; without one, all objects that the caller asks for, by row numbers or a predicate, as a dict."""
+        found = self._stored(table) if key is None else self._stored(table).where(F.col("key") == key)
         if key is None:
-            return found
-        if key not in found:
+            condition = self._where(found, where)
+            found = found if condition is None else found.where(condition)
+            found = found if ids is None else found.where(F.col(ROWID).isin([ids] if isinstance(ids, int) else [int(i) for i in ids]))
+        made = {r["key"]: objects.decode(r.asDict(), pickled) for r in found.toLocalIterator()}
+        if key is None:
+            return made
+        if key not in made:
             raise KeyError(key)
-        return found[key]
+        return made[key]
 
     # Files
 

@@ -326,3 +326,24 @@ def store_column_stats(db):
     close = ranks.groupBy("column").agg(F.bool_and((F.col("upto") >= share - 0.015 * F.col("n") - 1) & (F.col("under") <= share + 0.015 * F.col("n") + 1)).alias("close"))
     joined = stats.join(exact, F.col("column") == F.col("name")).join(close.withColumnRenamed("column", "of"), F.col("column") == F.col("of"), "left")
     return joined.select("column", "n", "nulls", (F.abs(F.col("distinct") - F.col("d")) <= 0.03 * F.col("d") + 1).alias("distinct_close"), F.coalesce("close", F.lit(True)).alias("quartiles_close"))
+
+
+# Objects
+
+
+@query("SELECT event_id::VARCHAR AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none, event_type AS kind FROM events WHERE props IS NOT NULL")
+def store_objects(t):
+    """All objects' fields, from objects that tasks have encoded and decode again."""
+    db = Store(t.spark, scratch(t.spark).removeprefix("file://"))
+    notes = F.to_json(F.struct(F.col("event_type").alias("kind")))
+    db.save_objects("objects", t.events.select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("json"), notes.alias("metadata")))
+    field = lambda c, path, kind: F.try_variant_get(c, path, kind)
+    return db.read_objects("objects").select("key", field("value", "$.k", "bigint").alias("k"), field("value", "$.none", "string").alias("none"), field("metadata", "$.kind", "string").alias("kind"))
+
+
+@on_store("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 11 OR o_orderkey = 7", "orders")
+def store_index_lookup(db):
+    """Lookups by indexed columns, after the layout has followed the index."""
+    db.create_index("orders", "o_custkey")
+    db.optimize()
+    return db.get_rows("orders", ["o_orderkey", "o_custkey", "o_totalprice"], where="o_custkey = 11 OR o_orderkey = 7")

@@ -460,3 +460,52 @@ def test_entries_and_duplicates_by_path(spark, store):
     assert delete_sqlite3_duplicates(spark, store.root, "t") == (3, 1) and store.get_row_count("t") == 3
     assert delete_sqlite3_duplicates(spark, store.root, "t", dry_run=False) == (2, 1)
     assert delete_sqlite3_duplicates(spark, "/nowhere/at/all", "t") == (None, None) == delete_sqlite3_duplicates(spark, store.root, "none")
+
+
+def rows_scanned(df):
+    """Rows that the scans of a plan gave out, by Spark's own count."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), 0
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        while leaf.getClass().getSimpleName().endswith("QueryStageExec") or leaf.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            leaf = leaf.executedPlan() if leaf.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else leaf.plan()
+        metrics = leaf.metrics()
+        if metrics.contains("numOutputRows"):
+            found += metrics.apply("numOutputRows").value()
+    return found
+
+
+def test_indexes_skip_files(spark, store):
+    """Files whose bounds hold a key, but not the key: a Bloom filter tells."""
+    def fill(table, indexed):
+        store.execute(f"CREATE TABLE {table} (id INTEGER, code TEXT, v INTEGER)")
+        if indexed:
+            store.create_index(table, "code")
+        for part in range(4):
+            store.insert_many(table, spark.range(part, 4000, 4).selectExpr("id", "concat('c', id) AS code", "id % 7 AS v").coalesce(1))
+        return rows_scanned(store.get_rows(table, where="code = 'c1234'"))
+
+    assert fill("plain", False) == 4000 and fill("quick", True) <= 1000
+    store.create_index("quick", "id", unique=True)
+    assert rows_scanned(store.read("quick").where("code IN ('c5', 'none')")) <= 1000
+    with pytest.raises(IntegrityError):
+        store.insert("quick", {"id": 77, "code": "again"})
+    store.insert("quick", {"id": 5000, "code": "c5000"})
+
+
+def test_objects_in_bulk(spark, store):
+    import json
+
+    made = [("a", json.dumps({"x": 1, "tags": ["p", "q"]}), json.dumps({"from": "here"})), ("b", json.dumps({"x": 2.5, "long": "y" * 5000}), None), ("c", json.dumps([1, 2]), None), ("d", None, None)]
+    store.save_objects("o", spark.createDataFrame(made, "key string, json string, metadata string"), compress=True)
+    store.save_blob("o", np.arange(3), "array")
+    assert store.load_blob("o", "b")["long"] == "y" * 5000 and store.load_blob("o", "c") == [1, 2] and store.load_blob("o", "a") == {"x": 1, "tags": ["p", "q"]}
+    found = store.read_objects("o").selectExpr("key", "try_variant_get(value, '$.x', 'double') AS x", "try_variant_get(value, '$.tags[1]', 'string') AS tag", "try_variant_get(metadata, '$.from', 'string') AS src", "variant_get(metadata, '$.original_size', 'int') AS size").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("a", 1.0, "q", "here", None), ("b", 2.5, None, None, len(made[1][1])), ("c", None, None, None, None), ("array", None, None, None, None)], key=str)
+    assert store.read_objects("o", keys=["a", "zz"]).count() == 1 and store.read_objects("o", where="key LIKE 'A%'").count() == 2
+    numbers = {r.key: r.rowid for r in store.execute("SELECT key, rowid FROM o").collect()}
+    assert set(store.load_blob("o", ids=[numbers["a"], numbers["c"]])) == {"a", "c"} and set(store.load_blob("o", ids=numbers["b"])) == {"b"}
+    store.save_objects("o", spark.createDataFrame([("a", '"new"')], "key string, json string"))
+    assert store.load_blob("o", "a") == "new" and store.get_row_count("o") == 4
