@@ -31,12 +31,14 @@ def main(arguments: list[str] | None = None) -> int:
     health = commands.add_parser("check-health", help="health of stores; status 1 if one is not healthy")
     health.add_argument("stores", nargs="+")
     health.add_argument("--fix", action="store_true", help="compact the tables and drop files out of use")
+    health.add_argument("--dry-run", action="store_true", help="say what --fix would do, and do nothing")
     health.add_argument("--yes", "-y", action="store_true")
+    health.add_argument("--quiet", "-q", action="store_true", help="name the stores alone that are not healthy")
     for command in (inspect, health):
         command.add_argument("--json", action="store_true")
         command.add_argument("--master", default="local[*]")
     given = parser.parse_args(arguments)
-    if given.command == "check-health" and given.fix and not given.yes:
+    if given.command == "check-health" and given.fix and not given.yes and not given.dry_run:
         print("--fix rewrites tables and needs --yes", file=sys.stderr)
         return 2
     spark = build_spark(given.master)
@@ -46,9 +48,12 @@ def main(arguments: list[str] | None = None) -> int:
             report = store.inspect(given.tables, given.samples, given.skip_count)
         print(json.dumps(report, default=str) if given.json else _text(report))
         return 0
-    found = batch_health_check(spark, given.stores, given.fix)
+    found = batch_health_check(spark, given.stores, given.fix and not given.dry_run)
     for name, report in [] if given.json else found["reports"].items():
-        print(f"{name}: {report['status']} ({report['health_score']})", *report["issues"], sep="\n  ")
+        if given.quiet and report["status"] == "HEALTHY":
+            continue
+        advice = [] if given.quiet else report.get("recommendations", [])
+        print(f"{name}: {report['status']} ({report['health_score']})", *report["issues"], *[f"{'would mend' if given.dry_run else 'advice'}: {a}" for a in advice], sep="\n  ")
     if given.json:
         print(json.dumps(found, default=str))
     return int(any(r["status"] != "HEALTHY" for r in found["reports"].values()))

@@ -384,8 +384,26 @@ class Store(Versions):
         return column in self.read(table).columns
 
     def get_table_stats(self, table: str) -> dict:
+        return self._sizes(table) | {"row_count": self.get_row_count(table)}
+
+    def _sizes(self, table: str) -> dict:
+        """Parquet files of the current state ("pages"), their mean size, and their size together."""
         files = [p for d in self._meta(table)["files"] for p in Path(d).glob("*.parquet")]
-        return {"pages": len(files), "total_size": sum(p.stat().st_size for p in files), "row_count": self.get_row_count(table)}
+        total = sum(p.stat().st_size for p in files)
+        return {"pages": len(files), "page_size": total // len(files) if files else 0, "total_size": total}
+
+    def recommendations(self) -> list[str]:
+        """What upkeep would help: small files put together, snapshots out of use deleted, a key or an index for tables without one."""
+        found = []
+        for name in self.get_table_names():
+            sizes, meta = self._sizes(name), self._meta(name)
+            if sizes["pages"] > 16 and sizes["page_size"] < 16 << 20:
+                found.append(f"{name}: {sizes['pages']} small files; optimize puts them together")
+            if not (meta["primary_key"] or meta["unique"] or meta["indexes"]):
+                found.append(f"{name}: no key and no index; lookups read all of it")
+        used = self._files_in_use()
+        stale = sum(str(p) not in used for p in (self.root / "tables").glob("*/*"))
+        return found + ([f"{stale} snapshots out of use; vacuum deletes them"] if stale else [])
 
     def copy_table(self, source: str, target: str, where: str | None = None) -> None:
         with self._change():
@@ -1038,7 +1056,7 @@ class Store(Versions):
         return Store(self.spark, path, "rw", self.compress_by_default)
 
     def check_health(self) -> dict:
-        """Loadability of every table, empty ones, orphans, and the score."""
+        """Loadability of every table, empty ones, orphans, files' numbers and sizes, what upkeep would help, and the score."""
         from .health import status
 
         issues, tables, orphans = [], {}, None
@@ -1055,7 +1073,9 @@ class Store(Versions):
                 if lost:
                     issues.append(f"{name}.{fk['column']}: {lost} rows without a row of {fk['table']}")
         points = max(0, 100 - 20 * len(issues))
-        return {"tables": tables, "issues": issues, "health_score": points, "status": status(points), "checked_at": time.time()}
+        loadable = {kind: probe() for kind, probe in (("rows", self.is_rows_loadable), ("arrays", self.is_arrays_loadable), ("blobs", self.is_blobs_loadable))}
+        stats = {name: self._sizes(name) for name in tables}
+        return {"tables": tables, "issues": issues, "stats": stats, "recommendations": self.recommendations(), "loadability": loadable, "health_score": points, "status": status(points), "checked_at": time.time()}
 
     def inspect(self, table_names: Sequence[str] | None = None, sample_size: int = 5, skip_count: bool = False) -> list[dict]:
         """Columns, bounded row count and a sample of each table."""

@@ -36,3 +36,9 @@ def test_health_and_command_line(spark, tmp_path, capsys):
     assert [t["table_name"] for t in json.loads(capsys.readouterr().out)] == ["cells", "none"]
     assert cli.main(["check-health", str(tmp_path / "store")]) == 1
     assert cli.main(["check-health", str(tmp_path / "store"), "--fix"]) == 2
+    capsys.readouterr()
+    before = sorted((tmp_path / "store").rglob("*"))
+    assert cli.main(["check-health", str(tmp_path / "store"), "--fix", "--dry-run"]) == 1 and "would mend" in capsys.readouterr().out
+    assert sorted((tmp_path / "store").rglob("*")) == before
+    cli.main(["check-health", str(tmp_path / "store"), "-q"])
+    assert "advice" not in capsys.readouterr().out
