@@ -14,18 +14,18 @@ learned from all distinct words. A word's spelling is given its class: its proba
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import mapped, read, stage
+from .words import frames
 
 #: A context seen less often is never a state; nor one whose G statistic is less than this share of the symbols'
 #: number plus four of its standard deviations (p about 1e-4).
@@ -42,6 +42,8 @@ CLASS_WORDS, CLASS_ENDINGS = 128, 126
 FREQUENT_WORDS = 300_000
 #: Entries that a task holds before it hands them on.
 _HELD = 2_000_000
+#: Bytes of words that are spelt at once, but for a single longer word.
+_SPELT = 1 << 18
 
 
 class Alphabet(NamedTuple):
@@ -155,8 +157,11 @@ class Speller(NamedTuple):
 
     def score(self, words: list[bytes], whole: bool = True) -> np.ndarray:
         """log10 probability of each word's bytes from the last to the first, and of the end of word; if not whole, of all words that end so."""
-        if not words:
-            return np.zeros(0)
+        held = np.cumsum([0, *(len(w) + LETTERS.depth for w in words)]) // _SPELT
+        cuts = [*np.unique(held[:-1], return_index=True)[1].tolist(), len(words)]
+        return np.concatenate([np.zeros(0), *(self._score(words[a:b], whole) for a, b in zip(cuts, cuts[1:]))])
+
+    def _score(self, words: list[bytes], whole: bool) -> np.ndarray:
         spelling, letters, starts = spelled(words)
         steps = self.tree.steps(LETTERS.contexts(letters), letters) + self.log10_byte[spelling]
         sums = np.concatenate([[0], np.cumsum(steps, dtype=np.float64)])
@@ -204,7 +209,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def rows(known: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(list(known.values()), pa.int64())], ["word", "n"])
 
-    return stage(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    return stage(mapped(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def choose_classes(words: DataFrame) -> Classes:
@@ -242,7 +247,7 @@ def learn_classes(docs: DataFrame, classes: Classes) -> Tree:
         for text in batch["text"].to_pylist():
             yield CLASSES.runs(np.array([*map(classes.of, words_of(text)), 0], np.int64))
 
-    runs = docs.select("text").mapInArrow(lambda batches: count_runs(batches, codes), "code long, n long")
+    runs = mapped(docs.select("text"), lambda batches: count_runs(batches, codes), "code long, n long")
     return grow(runs.groupBy("code").agg(F.sum("n").alias("n")), CLASSES)
 
 
@@ -276,7 +281,7 @@ def learn_spelling(words: DataFrame, classes: Classes) -> tuple[Speller, np.ndar
         at = np.concatenate([np.arange(256) - 256, np.arange(CLASSES.symbols) - 1000, np.arange(CLASSES.symbols) - 2000])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([seen, tokens, distinct]))], ["code", "n"])
 
-    counts = stage(words.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "letter-counts")
+    counts = stage(mapped(words, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "letter-counts")
     tree = grow(counts.where("code >= 0"), LETTERS)
     rest = {r["code"]: r["n"] for r in counts.where("code < 0").collect()}
     seen = np.array([1.0 + rest.get(b - 256, 0) for b in range(256)])
@@ -294,7 +299,6 @@ class Model(NamedTuple):
     speller: Speller
     tokens: np.ndarray
     distinct: np.ndarray
-    frequent: pa.Table
     masses: np.ndarray
 
     def shares(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,16 +317,27 @@ def log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a * math.log(10), b * math.log(10)) / math.log(10)
 
 
+def frequent_words(words: DataFrame, model: Broadcast) -> pa.Table:
+    """(word, kind, log_count, log_share) of the most frequent words, worked out once for all tasks."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy().astype(np.float64)
+            kinds, unit, spelt = model.value.shares(batch["word"].cast(pa.binary()).to_pylist())
+            log_share = log10_sum(np.log10(n - DISCOUNT) + unit, spelt)
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(kinds), pa.array(np.log10(n + 1)), pa.array(log_share)], ["word", "kind", "log_count", "log_share"])
+
+    return mapped(words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS), share, "word string, kind long, log_count double, log_share double").toArrow()
+
+
 class Vocabulary(dict):
-    """word -> its place in the columns below, in a worker; words that aren't frequent get places as they come."""
+    """word -> its place in the columns below, in a task; words that aren't frequent get places as they come."""
 
-    def __init__(self, model: Model):
-        words, n = model.frequent["word"].cast(pa.binary()).to_pylist(), model.frequent["n"].to_numpy().astype(np.float64)
+    def __init__(self, frequent: pa.Table):
+        words = frequent["word"].cast(pa.binary()).to_pylist()
         super().__init__(zip(words, range(len(words))))
-        self.model, self.frequent, self.late = model, len(words), []
-        self.log_count = np.log10(n + 1)
-        self.kinds, unit, spelt = model.shares(words)
-        self.log_share = log10_sum(np.log10(n - DISCOUNT) + unit, spelt)
+        self.frequent, self.late = len(words), []
+        self.kinds, self.log_count, self.log_share = (frequent[c].to_numpy() for c in ("kind", "log_count", "log_share"))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = self.frequent + len(self.late)
@@ -335,7 +350,26 @@ class Vocabulary(dict):
         self.late = []
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+def rated_rows(frame: pa.RecordBatch, known: Vocabulary, model: Model) -> pa.RecordBatch:
+    """Each text's score but for its words that aren't frequent: those, how often they stand there and what is known of their shares."""
+    places = [np.array([known[w] for w in (*words_of(text), b"")], np.int64) for text in frame["text"].to_pylist()]
+    late = known.late
+    late_kinds, unit, spelt = model.shares(late)
+    kinds = np.concatenate([known.kinds, late_kinds])
+    found, rare, times = [], [], []
+    for place in places:
+        sure, unsure = place[place < known.frequent], place[place >= known.frequent] - known.frequent
+        symbols = kinds[place]
+        score = float(model.tree.steps(CLASSES.contexts(symbols), symbols).sum(dtype=np.float64) + known.log_share[sure].sum())
+        found.append((len(place), len(sure), float(known.log_count[sure].sum()), score))
+        for held, x in zip((rare, times), np.unique(unsure, return_counts=True)):
+            held.append(x)
+    known.forget()
+    ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+    which = np.concatenate(rare)
+    lists = [pa.array(late, pa.binary()).cast(pa.string()).take(pa.array(which)), pa.array(np.concatenate(times), pa.int32()), pa.array(unit[which]), pa.array(spelt[which])]
+    columns = [*(frame[c] for c in ("row", "doc_id", "held_out")), *map(pa.array, zip(*found)), *(pa.ListArray.from_arrays(ends, x) for x in lists)]
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "unit", "spelt"])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -352,37 +386,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n_tokens, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     classes = choose_classes(words)
     speller, tokens, distinct = learn_spelling(words, classes)
-    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
-    name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(Model(classes, learn_classes(training, classes), speller, tokens, distinct, frequent, speller.masses(classes)))
-
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _vocabularies:
-            _vocabularies.clear()
-            _vocabularies[name] = Vocabulary(shared.value)
-        known = _vocabularies[name]
-        for batch in batches:
-            texts = batch.text.tolist()
-            for at in range(0, len(texts), 500):
-                yield rated_rows(batch.iloc[at : at + 500], texts[at : at + 500], known)
-
-    def rated_rows(batch: pd.DataFrame, texts: list, known: Vocabulary) -> pd.DataFrame:
-        places = [np.array([known[w] for w in (*words_of(text), b"")], np.int64) for text in texts]
-        late, model = known.late, known.model
-        late_kinds, unit, spelt = model.shares(late)
-        kinds = np.concatenate([known.kinds, late_kinds]).astype(np.int64)
-        found = []
-        for place in places:
-            sure, unsure = place[place < known.frequent], place[place >= known.frequent] - known.frequent
-            symbols = kinds[place]
-            score = float(model.tree.steps(CLASSES.contexts(symbols), symbols).sum(dtype=np.float64) + known.log_share[sure].sum())
-            rare, times = np.unique(unsure, return_counts=True)
-            found.append((len(place), len(sure), float(known.log_count[sure].sum()), score, [late[k].decode() for k in rare], times, unit[rare], spelt[rare]))
-        known.forget()
-        names = ["n_tokens", "n_known", "base", "score", "rare", "times", "unit", "spelt"]
-        return pd.concat([batch[["row", "doc_id", "held_out"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+    model = spark.sparkContext.broadcast(Model(classes, learn_classes(training, classes), speller, tokens, distinct, speller.masses(classes)))
+    frequent = spark.sparkContext.broadcast(frequent_words(words, model))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(frequent.value)
+        for frame in frames(batches, "text"):
+            yield rated_rows(frame, known, model.value)
 
     fields = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, unit array<double>, spelt array<double>"
-    rated = stage(rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text").mapInPandas(rate, fields), "scores")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text")
+    rated = stage(mapped(numbered, rate, fields), "scores")
+    model.destroy()
+    frequent.destroy()
     # What isn't among the frequent words: rare ones, so that no key of this join is a hot one.
     rare = rated.select("row", F.explode(F.arrays_zip("rare", "times", "unit", "spelt")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times", "x.unit", "x.spelt")
     n = F.coalesce("n", F.lit(0)).cast("double")
