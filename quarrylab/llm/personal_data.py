@@ -83,7 +83,7 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----(?:\s+[A-Za-
 #: Runs of lesser entropy (bits a character) are words.
 SECRET_BITS = 2.5
 #: Beginnings that the patterns for keys start with, and parts of the words that a secret needs nearby: a text without any is not searched.
-_KEY_MARKS = ("AKIA", "ASIA", "gh", "xox", "sk-", "k_live_", "AIza", "eyJ")
+_KEY_MARKS = ("AKIA", "ASIA", "gh", "github_pat_", "xox", "sk-", "k_live_", "AIza", "eyJ")
 _SECRET_MARKS = ("passw", "pwd", "passphrase", "token", "secret", "key", "credential", "auth", "bearer")
 
 
