@@ -54,6 +54,7 @@ def near_words(words: DataFrame) -> DataFrame:
     one half of a word as it was, keys are joined together with the hash of a half, so that the many words of the same
     letters don't all meet; the letters' order is then verified by the edit distance. A pair that meets by both halves
     counts once. Each word has at most 90 different letters, so it emits a bounded number of keys whatever its length.
+    Both sides are sorted and merged: Spark sizes them by the words' file, without what the letters and halves multiply.
     """
     key, size = F.col("key"), F.length("word")
     keyed = words.withColumn("key", anagram_key(F.col("word")))
@@ -71,7 +72,7 @@ def near_words(words: DataFrame) -> DataFrame:
     a = reduced.select(*names)
     b = reduced.select(*names, F.lit(False).alias("shorter")).union(own.select(*names, F.lit(True).alias("shorter")))
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    met = a.join(b, (F.col("key") == F.col("b_key")) & (F.col("length") == F.col("b_length")) & (F.col("half.side") == F.col("b_half.side")) & (F.col("half.hash") == F.col("b_half.hash")) & (F.col("word") != F.col("b_word")))
+    met = a.hint("merge").join(b, (F.col("key") == F.col("b_key")) & (F.col("length") == F.col("b_length")) & (F.col("half.side") == F.col("b_half.side")) & (F.col("half.hash") == F.col("b_half.hash")) & (F.col("word") != F.col("b_word")))
     near = met.where(((F.col("half.side") == 0) | (F.col("front") != F.col("b_front"))) & (F.levenshtein("word", "b_word", 1) == 1))
     there = F.struct(F.col("word"), F.col("b_word").alias("near"), F.col("b_n").alias("near_n"))
     back = F.struct(F.col("b_word").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))
@@ -82,12 +83,13 @@ def near_words(words: DataFrame) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) for forms (word, form), each word once: where the forms lead in the end. Pointers double in each round.
 
-    Forms lead to ever more frequent words, so there is no cycle, and a chain of length c takes log2(c) rounds.
+    Forms lead to ever more frequent words, so there is no cycle, and a chain of length c takes log2(c) rounds. Words are
+    as many as the texts', so neither side is broadcast by the size of its compressed file.
     """
     at = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = at.select(F.col("word").alias("_from"), F.col("root").alias("_to"))
-        moved = stage(at.join(further, F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")), "roots")
+        moved = stage(at.hint("merge").join(further, F.col("root") == F.col("_from"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")), "roots")
         at = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return at
@@ -109,7 +111,7 @@ def spelling_variants(docs: DataFrame, least_letters: int = LEAST_LETTERS, least
     common = -F.col("best.n") >= ratio * F.col("n")
     found = stage(grouped.select("word", "n", "n_near", F.when(common, F.col("best.word")).alias("form"), F.when(common, -F.col("best.n")).alias("form_n")), "forms")
     ends = roots(found.where("form is not null"))
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

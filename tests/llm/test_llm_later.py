@@ -119,6 +119,19 @@ def test_anagrams_do_not_meet_all(spark):
     assert [r.key for r in keys] == [sum(ord(c) ** 5 for c in "abcdefg")]
 
 
+def test_no_side_of_multiplied_words_is_broadcast(spark):
+    """Spark sizes the words' keys and halves by the words' small file; the joins don't go by that, nor do those of the forms."""
+    rows = [("language", 40), ("languages", 3), ("langage", 2), ("mississippi", 2)]
+    words = common.stage(spark.createDataFrame(rows, "word string, n long"), "words")
+    near = spelling.near_words(words)
+    assert sorted(map(tuple, near.collect())) == [("langage", "language", 40), ("language", "langage", 2), ("language", "languages", 3), ("languages", "language", 40)]
+    found = spelling.spelling_variants(spark.createDataFrame([(1, " ".join(w for w, n in rows for _ in range(n)))], "doc_id long, text string"), slip=1 << 40)
+    assert ("languages", "language", "language", 3, 1, 40) in [*map(tuple, found.collect())]
+    for df in (near, found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_kernels():
     """The kernel is the number of shared runs by the root of the product of both numbers of runs."""
     texts = ["Der Hund, der bellt!", "the dog that barks", "", "日本語のテキスト", "  Éàü 12 É ", "ab " * 500_000]
