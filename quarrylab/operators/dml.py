@@ -9,11 +9,32 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rows import order_columns
 
-#: Ranges are laid out over so many leaves (a power of two), whose bounds are quantiles of the ranges' ends.
+#: Ranges are laid out over so many leaves at most (a power of two), whose bounds are quantiles of the ranges' ends; fewer ends need fewer leaves.
 LEAVES = 4096
+#: A side of a join is broadcast only if it was counted and its rows, each of ROW_BYTES besides its values, have no more bytes than this.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
+
+
+def few(df: DataFrame) -> bool:
+    """Whether df's rows, counted with their bytes, may be broadcast. By itself Spark goes by the size of compressed files, which an explode doesn't change."""
+    size = F.lit(ROW_BYTES)
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, T.AtomicType):
+            size = size + 8
+        else:
+            return False
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with a hint for a join: broadcast if it is few, else sorted and merged."""
+    return df.hint("broadcast" if few(df) else "merge")
 
 
 def holds(where: str | Column) -> Column:
@@ -156,10 +177,10 @@ class Term(NamedTuple):
         }[self.kind]()
 
 
-def _leaf(x: Column, bounds: list[float]) -> Column:
-    """The number of bounds that are no greater than x, by a search that halves what is left; monotonous in x."""
-    padded = F.array(*[F.lit(b) for b in bounds + [float("inf")] * (LEAVES - len(bounds))])
-    halves = F.array(*[F.lit(LEAVES >> i) for i in range(1, LEAVES.bit_length())])
+def _leaf(x: Column, bounds: list[float], leaves: int) -> Column:
+    """The number of bounds, fewer than leaves, that are no greater than x, by a search that halves what is left; monotonous in x."""
+    padded = F.array(*[F.lit(b) for b in bounds + [float("inf")] * (leaves - len(bounds))])
+    halves = F.array(*[F.lit(leaves >> i) for i in range(1, leaves.bit_length())])
     return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at(padded, at + half) <= x, at + half).otherwise(at))
 
 
@@ -170,7 +191,8 @@ def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str,
     missing) is no nested loop: leaves are cut at quantiles of the ends, df's rows know their leaf, and an update row is put
     on the few nodes of a binary tree over the leaves between its ends' leaves, where of all update rows the last alone counts, and
     on its ends' own leaves, where of those of the same end the last alone counts and is compared. So neither wide ranges nor
-    popular ends bring rows and update rows together pair by pair. Terms of other kinds are tested on joined pairs.
+    popular ends bring rows and update rows together pair by pair. Terms of other kinds are tested on joined pairs. It is the
+    update rows that are broadcast, if they are few: df, with a row for each level of the tree, never is.
     """
     keys = [t for t in terms if t.kind == "EqualTo"]
     ranged = [t for t in terms if t.kind not in ("", "EqualTo")]
@@ -181,7 +203,7 @@ def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str,
     numeric = ranged and dict(df.select(ranged[0].left.alias("x")).dtypes)["x"] not in ("string", "binary", "boolean")
     every = reduce(and_, [t.holds() for t in terms], F.lit(True))
     if not numeric:
-        return df.join(updates, every).select(row, at)
+        return df.join(sized(updates), every).select(row, at)
     low, high = (lows or [None])[0], (highs or [None])[0]
     timed = dict(df.select(ranged[0].left.alias("x")).dtypes)["x"] in ("date", "timestamp_ntz")
     as_double = lambda c: (c.cast("timestamp") if timed else c).cast("double")
@@ -189,16 +211,17 @@ def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str,
     shares = [i / LEAVES for i in range(1, LEAVES)]
     found = ends.select(F.explode(F.array("lo", "hi")).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).approxQuantile("x", shares, 0.25 / LEAVES)
     bounds = sorted({*found})
+    leaves = max(2, 1 << len(bounds).bit_length())
     key_names = [f"_k{i}" for i in range(len(keys))]
     df = df.where(ranged[0].left.isNotNull())
-    side = df.select(row, *[t.left.alias(n) for t, n in zip(keys, key_names)], ranged[0].left.alias("_x")).withColumn("_leaf", _leaf(as_double(F.col("_x")), bounds)) if not rest else df.withColumn("_leaf", _leaf(as_double(ranged[0].left), bounds))
+    side = df.select(row, *[t.left.alias(n) for t, n in zip(keys, key_names)], ranged[0].left.alias("_x")).withColumn("_leaf", _leaf(as_double(F.col("_x")), bounds, leaves)) if not rest else df.withColumn("_leaf", _leaf(as_double(ranged[0].left), bounds, leaves))
     real = reduce(and_, [t.right.isNotNull() for t in (low, high) if t], F.lit(True))
-    lo_leaf = _leaf(as_double(low.right), bounds) if low else F.lit(-1)
-    hi_leaf = _leaf(as_double(high.right), bounds) if high else F.lit(LEAVES)
+    lo_leaf = _leaf(as_double(low.right), bounds, leaves) if low else F.lit(-1)
+    hi_leaf = _leaf(as_double(high.right), bounds, leaves) if high else F.lit(leaves)
     placed = updates.where(real).withColumns({"_lo_leaf": lo_leaf, "_hi_leaf": hi_leaf}).where("_lo_leaf <= _hi_leaf")
     if rest:  # every pair is tested: update rows on all the leaves that they reach
-        spread = placed.withColumn("_on", F.explode(F.sequence(F.greatest("_lo_leaf", F.lit(0)), F.least("_hi_leaf", F.lit(LEAVES - 1)))))
-        return side.join(spread, every & (F.col("_leaf") == F.col("_on"))).select(row, at)
+        spread = placed.withColumn("_on", F.explode(F.sequence(F.greatest("_lo_leaf", F.lit(0)), F.least("_hi_leaf", F.lit(leaves - 1)))))
+        return side.join(sized(spread), every & (F.col("_leaf") == F.col("_on"))).select(row, at)
     own = placed.select(
         *[t.right.alias(f"_u{n}") for t, n in zip(keys, key_names)], (low.right if low else F.lit(None).cast("double")).alias("_lo"), (high.right if high else F.lit(None).cast("double")).alias("_hi"), "_lo_leaf", "_hi_leaf", at,
     )
@@ -214,9 +237,9 @@ def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str,
     x = F.col("_x")
     above = F.col("_lo").isNull() | ((x > F.col("_lo")) if low and low.kind == "GreaterThan" else (x >= F.col("_lo")))
     below = F.col("_hi").isNull() | ((x < F.col("_hi")) if high and high.kind == "LessThan" else (x <= F.col("_hi")))
-    near = side.join(edge, same_keys & (F.col("_leaf") == F.col("_on")) & above & below).select(row, at)
+    near = side.join(sized(edge), same_keys & (F.col("_leaf") == F.col("_on")) & above & below).select(row, at)
     # Leaves between the ends: nodes of the tree, the least number of them.
-    levels = LEAVES.bit_length()
+    levels = leaves.bit_length()
     first, last = F.col("_lo_leaf") + 1, F.col("_hi_leaf") - 1
     inner = own.where(first <= last).select(*of, first.alias("_a"), last.alias("_b"), at)
     found = []
@@ -230,5 +253,5 @@ def matches(df: DataFrame, updates: DataFrame, terms: Sequence[Term], row: str,
     nodes = inner.select(*of, at, F.explode(F.flatten(F.array(*found))).alias("n")).select(*of, F.col("n.level").alias("_level"), F.col("n.on").alias("_on"), at)
     node = nodes.groupBy(*of, "_level", "_on").agg(F.max(at).alias(at))
     up = side.select("*", F.posexplode(F.array(*[F.shiftright("_leaf", level) for level in range(levels)])).alias("_at_level", "_node"))
-    covered = up.join(node, same_keys & (F.col("_at_level") == F.col("_level")) & (F.col("_node") == F.col("_on"))).select(row, at)
+    covered = up.join(sized(node), same_keys & (F.col("_at_level") == F.col("_level")) & (F.col("_node") == F.col("_on"))).select(row, at)
     return near.union(covered)

@@ -34,6 +34,8 @@ _TABLE_INFO = re.compile(r"\s*PRAGMA\s+table_info\s*\(\s*[\"'`]?(\w+)[\"'`]?\s*\
 #: Type names that Spark's parser doesn't know, by one of the same kind that it does.
 _TYPE_NAMES = {"TEXT": "STRING", "CLOB": "STRING", "NVARCHAR": "STRING", "BLOB": "BINARY", "BYTEA": "BINARY", "DATETIME": "TIMESTAMP", "SERIAL": "BIGINT", "BIGSERIAL": "BIGINT", "BOOL": "BOOLEAN"}
 _SET_ASIDE = "_u_"
+#: A table that is sorted by row number is dealt out in parts of about so many rows or bytes of its files, whichever are fewer.
+TASK_ROWS, TASK_BYTES = 250_000, 16 << 20
 
 
 @contextmanager
@@ -276,6 +278,14 @@ class Statements:
         self.store._replace(table, changed, touched=columns)
         return found.count()
 
+    def _by_number(self, table: str, stored: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        """The table joined with rows (_row) by row number. Unless the rows are few, whole rows of the table are sorted, in parts that a task of little memory holds."""
+        on = F.col(ROWID) == F.col("_row")
+        if dml.few(rows):
+            return stored.join(F.broadcast(rows), on, how)
+        n = max(self.store.spark.sparkContext.defaultParallelism, -(-self.store._meta(table)["next_rowid"] // TASK_ROWS), -(-self.store._sizes(table)["total_size"] // TASK_BYTES))
+        return stored.repartition(n, ROWID).join(rows.hint("merge"), on, how)
+
     def _DeleteFromTable(self, plan: JavaObject) -> int:
         table = self._target(plan)
         stored = self._scope(plan.table(), table)
@@ -283,7 +293,7 @@ class Statements:
 
     def _without(self, table: str, stored: DataFrame, rows: DataFrame) -> int:
         gone = self.store._put(table, rows.select(F.col(ROWID).alias("_row")).distinct())
-        self.store._replace(table, stored.join(gone, F.col(ROWID) == F.col("_row"), "left_anti").select(*[f"`{x}`" for x in stored.columns]), touched=())
+        self.store._replace(table, self._by_number(table, stored, gone, "left_anti").select(*[f"`{x}`" for x in stored.columns]), touched=())
         return gone.count()
 
     def _MergeIntoTable(self, plan: JavaObject) -> int:

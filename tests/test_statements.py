@@ -125,6 +125,40 @@ def test_matches_by_brute_force(spark, monkeypatch, seed):
         assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def broadcast_scans(df):
+    """The scans of files that are below a broadcast in the plan, and whether anything is broadcast."""
+    lines, found, depth = df._jdf.queryExecution().executedPlan().toString().splitlines(), [], None
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        depth = at if depth is None and "BroadcastExchange" in line else depth
+        found += [line] if depth is not None and "FileScan" in line else []
+    return found, any("Broadcast" in line for line in lines)
+
+
+def staged_by(store, monkeypatch, change):
+    """The frames that a change has staged, and its table's new state."""
+    staged, states = [], []
+    for name, kept in (("_put", staged), ("_replace", states)):
+        monkeypatch.setattr(store, name, lambda table, df, *a, f=getattr(store, name), kept=kept, **b: (kept.append(df), f(table, df, *a, **b))[1])
+    change()
+    return staged, states
+
+
+@pytest.mark.parametrize("most", [dml.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("text, rows", [("DELETE FROM items WHERE id > ? AND x <= ?", [(4, 2.0), (20, 5.0)]), ("DELETE FROM items WHERE name = ? AND id >= ?", [("5", 1), ("apple", 2)])])
+def test_deletes_by_many_rows_broadcast_no_table(both, monkeypatch, text, rows, most):
+    """Spark sizes a table by its small file, before its rows are multiplied by a tree's levels: rows of parameters are broadcast if they are few, a table never is."""
+    store, lite = both
+    monkeypatch.setattr(dml, "BROADCAST_BYTES", most)
+    staged, states = staged_by(store, monkeypatch, lambda: store.executemany(text, rows))
+    assert len(staged) == len(states) == 1 and not broadcast_scans(staged[0])[0]
+    assert [broadcast_scans(df)[1] for df in (*staged, *states)] == [most > 0] * 2
+    assert states[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == (0 if most else 2)  # whole rows are dealt out once
+    lite.executemany(text, rows)
+    same(store, lite)
+
+
 def test_merge(spark, tmp_path):
     db = Store(spark, tmp_path / "store")
     db.executescript("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT); INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c'); CREATE TABLE s (id INTEGER, v TEXT); INSERT INTO s VALUES (1, 'x'), (2, 'y'), (9, 'z'), (8, 'w')")
