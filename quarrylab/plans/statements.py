@@ -123,7 +123,10 @@ class Statements:
             both = stored.crossJoin(given.limit(0))  # names and types alone: an empty side
             values = {k: self.dialect.column(both, v) for k, v in assigned.items()}
             self.store._known(table, values)
-            last = matched.groupBy(ROWID).agg(F.max("_at").alias("_at")).join(given, "_at").join(stored.select(ROWID, *[x for x in stored.columns if x != ROWID and x in read]), ROWID)
+            last = matched.groupBy(ROWID).agg(F.max("_at").alias("_at")).join(dml.sized(given), "_at")
+            of_values = {parts[-1] for e in assigned.values() for parts in c.attributes(e)}
+            if needed := [x for x in stored.columns if x != ROWID and x in of_values]:
+                last = last.join(stored.select(ROWID, *needed).hint("merge"), ROWID)  # of which Spark knows the compressed size alone
             found = last.select(F.col(ROWID).alias("_row"), *[v.alias(f"_new_{k}") for k, v in values.items()])
             return self._set(table, stored, found, list(values))
 
@@ -273,7 +276,7 @@ class Statements:
         """Put the new values of found (_row, _new_<column> of each) in the place of the old ones."""
         kinds = {f.name: f.dataType for f in stored.schema}
         found = self.store._put(table, found.select("_row", *[F.col(f"_new_{k}").cast(kinds[k]).alias(f"_new_{k}") for k in columns]).withColumn("_hit", F.lit(True)))
-        joined = stored.join(found, F.col(ROWID) == F.col("_row"), "left")
+        joined = self._by_number(table, stored, found, "left")
         changed = joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{x}")).otherwise(F.col(f"`{x}`")).alias(x) if x in columns else F.col(f"`{x}`") for x in stored.columns])
         self.store._replace(table, changed, touched=columns)
         return found.count()

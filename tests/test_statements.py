@@ -159,6 +159,19 @@ def test_deletes_by_many_rows_broadcast_no_table(both, monkeypatch, text, rows,
     same(store, lite)
 
 
+@pytest.mark.parametrize("most", [dml.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("text, rows", [("UPDATE items SET name = ? WHERE n >= ? AND n < ?", [("a", 0, 5), ("b", 3, 9)]), ("UPDATE items SET name = ?, n = id + ? WHERE x > ?", [("c", 7, 0.5), ("d", 9, 2.0)])])
+def test_updates_by_many_rows_broadcast_no_table(both, monkeypatch, text, rows, most):
+    """As for deletes; where new values read the table's columns, it is joined once more, and not broadcast either."""
+    store, lite = both
+    monkeypatch.setattr(dml, "BROADCAST_BYTES", most)
+    staged, states = staged_by(store, monkeypatch, lambda: store.executemany(text, rows))
+    assert len(staged) == len(states) == 1 and not broadcast_scans(staged[0])[0]
+    assert [broadcast_scans(df)[1] for df in (*staged, *states)] == [most > 0] * 2
+    lite.executemany(text, rows)
+    same(store, lite)
+
+
 def test_merge(spark, tmp_path):
     db = Store(spark, tmp_path / "store")
     db.executescript("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT); INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c'); CREATE TABLE s (id INTEGER, v TEXT); INSERT INTO s VALUES (1, 'x'), (2, 'y'), (9, 'z'), (8, 'w')")
