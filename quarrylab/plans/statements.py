@@ -34,7 +34,7 @@ _TABLE_INFO = re.compile(r"\s*PRAGMA\s+table_info\s*\(\s*[\"'`]?(\w+)[\"'`]?\s*\
 #: Type names that Spark's parser doesn't know, by one of the same kind that it does.
 _TYPE_NAMES = {"TEXT": "STRING", "CLOB": "STRING", "NVARCHAR": "STRING", "BLOB": "BINARY", "BYTEA": "BINARY", "DATETIME": "TIMESTAMP", "SERIAL": "BIGINT", "BIGSERIAL": "BIGINT", "BOOL": "BOOLEAN"}
 _SET_ASIDE = "_u_"
-#: A table that is sorted by row number is dealt out in parts of about so many rows or bytes of its files, whichever are fewer.
+#: A task that writes a table sorted by row number gets about so many rows or bytes of its files, whichever are fewer.
 TASK_ROWS, TASK_BYTES = 250_000, 16 << 20
 
 
@@ -276,18 +276,22 @@ class Statements:
         """Put the new values of found (_row, _new_<column> of each) in the place of the old ones."""
         kinds = {f.name: f.dataType for f in stored.schema}
         found = self.store._put(table, found.select("_row", *[F.col(f"_new_{k}").cast(kinds[k]).alias(f"_new_{k}") for k in columns]).withColumn("_hit", F.lit(True)))
-        joined = self._by_number(table, stored, found, "left")
+        joined = self._by_number(table, stored, found)
         changed = joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{x}")).otherwise(F.col(f"`{x}`")).alias(x) if x in columns else F.col(f"`{x}`") for x in stored.columns])
         self.store._replace(table, changed, touched=columns)
         return found.count()
 
-    def _by_number(self, table: str, stored: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        """The table joined with rows (_row) by row number. Unless the rows are few, whole rows of the table are sorted, in parts that a task of little memory holds."""
+    def _by_number(self, table: str, stored: DataFrame, rows: DataFrame) -> DataFrame:
+        """The table's rows beside those of rows that have their number (_row, each once), or nulls. Unless these are few, whole rows of the table are
+        sorted, in parts that a task of little memory holds; a task writes several of them, one after the other."""
         on = F.col(ROWID) == F.col("_row")
         if dml.few(rows):
-            return stored.join(F.broadcast(rows), on, how)
-        n = max(self.store.spark.sparkContext.defaultParallelism, -(-self.store._meta(table)["next_rowid"] // TASK_ROWS), -(-self.store._sizes(table)["total_size"] // TASK_BYTES))
-        return stored.repartition(n, ROWID).join(rows.hint("merge"), on, how)
+            return stored.join(F.broadcast(rows), on, "left")
+        spark = self.store.spark
+        tasks = max(spark.sparkContext.defaultParallelism, -(-self.store._meta(table)["next_rowid"] // TASK_ROWS), -(-self.store._sizes(table)["total_size"] // TASK_BYTES))
+        # With fewer parts than its own number of them, Spark would deal both sides out again.
+        parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return stored.repartition(parts, ROWID).join(rows.hint("merge"), on, "left").coalesce(tasks)
 
     def _DeleteFromTable(self, plan: JavaObject) -> int:
         table = self._target(plan)
@@ -296,7 +300,7 @@ class Statements:
 
     def _without(self, table: str, stored: DataFrame, rows: DataFrame) -> int:
         gone = self.store._put(table, rows.select(F.col(ROWID).alias("_row")).distinct())
-        self.store._replace(table, self._by_number(table, stored, gone, "left_anti").select(*[f"`{x}`" for x in stored.columns]), touched=())
+        self.store._replace(table, self._by_number(table, stored, gone).where(F.col("_row").isNull()).select(*[f"`{x}`" for x in stored.columns]), touched=())
         return gone.count()
 
     def _MergeIntoTable(self, plan: JavaObject) -> int:
